@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +32,20 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name; Spark's reader resolves the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per context, where their path doesn't have it yet."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    to = Path(tempfile.mkdtemp(prefix="cosmolake-")) / "cosmolake.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted((root / "cosmolake").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(to))
+
+
+_SHIPPED: set[str] = set()
