@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from cosmolake.llm import op9_byte_bpe
+from collections.abc import Callable
 
-QUERIES = {
-    "op9_byte_bpe": op9_byte_bpe.query,
+from pyspark.sql import DataFrame, SparkSession
+
+from cosmolake.llm import op9_byte_bpe, op10_line_crf
+from cosmolake.session import ship
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def shipped(f: Query) -> Query:
+    """``f`` once the workers have this package."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    k: shipped(f)
+    for k, f in {
+        "op9_byte_bpe": op9_byte_bpe.query,
+        "op10_line_crf": op10_line_crf.query,
+    }.items()
 }
 
 SQL: dict[str, str] = {}
