@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cosmolake.llm import op9_byte_bpe, op10_line_crf
+from cosmolake.llm import op8_warc, op9_byte_bpe, op10_line_crf
 from cosmolake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,12 @@ def shipped(f: Query) -> Query:
 QUERIES: dict[str, Query] = {
     k: shipped(f)
     for k, f in {
+        "op8_warc": op8_warc.query,
         "op9_byte_bpe": op9_byte_bpe.query,
         "op10_line_crf": op10_line_crf.query,
     }.items()
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": op8_warc.SQL,
+}
