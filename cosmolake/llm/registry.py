@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cosmolake.llm import op3_skip_chain, op5_kneser_ney, op8_warc, op9_byte_bpe, op10_line_crf
+from cosmolake.llm import op2_host_paths, op3_skip_chain, op5_kneser_ney, op8_warc, op9_byte_bpe, op10_line_crf
 from cosmolake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def shipped(f: Query) -> Query:
 QUERIES: dict[str, Query] = {
     k: shipped(f)
     for k, f in {
+        "op2_host_paths": op2_host_paths.query,
         "op3_skip_chain": op3_skip_chain.query,
         "op5_kneser_ney": op5_kneser_ney.query,
         "op8_warc": op8_warc.query,
