@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -91,6 +91,7 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
     root = Element("", "", False, None)
     stack, blocks, containers = [root], [], []
     current: Block | None = None
+    opened: Counter[str] = Counter()  # open elements by tag: none to look for, no walk up the stack
     links = at = count = 0
 
     def text(s: str) -> None:
@@ -107,6 +108,7 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
     def close(depth: int) -> None:
         nonlocal current
         for e in stack[depth:]:
+            opened[e.tag] -= 1
             if e.tag in BLOCK:
                 current = None
         del stack[depth:]
@@ -134,13 +136,13 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
                 continue
             if tag in ENDS_P:
                 current = None
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened["p"] > 0 else ():
                     if stack[k].tag == "p":
                         close(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-                for k in range(len(stack) - 1, 0, -1) if tag in SAME_ENDS else ():
+                for k in range(len(stack) - 1, 0, -1) if tag in SAME_ENDS and any(opened[x] > 0 for x in SAME_ENDS[tag]) else ():
                     if stack[k].tag in SAME_ENDS[tag]:
                         close(k)
                         break
@@ -160,12 +162,13 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
             e.article = up.article or tag in ("article", "main")
             e.depth = up.depth + 1
             stack.append(e)
+            opened[tag] += 1
             links += tag == "a"
             if tag in CONTAINER:
                 containers.append(e)
         elif end:
             tag = end.lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
                     links -= sum(e.tag == "a" for e in stack[k:])
                     close(k)
