@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,19 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+SLICE_BYTES = 2 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`text_bytes` of consecutive stretches of at most ``most`` bytes (one text at least), to bound the arrays made of them."""
+    raw, off = text_bytes(texts)
+    a = 0
+    while a < len(off) - 1:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
+        yield raw[off[a] : off[b]], off[a : b + 1] - off[a]
+        a = b
+
+
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
 _POW: dict[str, np.ndarray] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import SPACE, mix, span_hash, text_bytes, word_spans
+from cosmolake.llm._shared import SPACE, mix, slices, span_hash, word_spans
 
 MAX_DOCS = 6_000  #: Bound of the training sample, in documents.
 MAX_BYTES = 65_536  #: Longer documents are not sampled for training.
@@ -191,9 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, _, first = line_features(*text_bytes(b.column(0)))
-            flat = np.ascontiguousarray(x, np.float32)
-            yield pa.record_batch([pa.array([flat[first[k] : first[k + 1]].tobytes() for k in range(b.num_rows)], pa.binary()), b.column(1).cast(pa.int32())], ["x", "y"])
+            out: list[bytes] = []
+            for raw, off in slices(b.column(0)):
+                x, _, first = line_features(raw, off)
+                flat = np.ascontiguousarray(x, np.float32)
+                out += [flat[first[k] : first[k + 1]].tobytes() for k in range(len(off) - 1)]
+            yield pa.record_batch([pa.array(out, pa.binary()), b.column(1).cast(pa.int32())], ["x", "y"])
 
     rows = sample.mapInArrow(features, "x binary, y int").limit(4 * max_docs).toArrow()
     parts = [np.frombuffer(v.as_py(), np.float32).reshape(-1, N_FEATURES) for v in rows["x"]]
@@ -212,9 +215,12 @@ def score(df: DataFrame, text: str, model: Model, out: str = "score") -> DataFra
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x, size, first = line_features(*text_bytes(texts))
-            c = np.concatenate([[0], np.cumsum(marginals(model, x, first) * size)])
-            s = np.concatenate([[0], np.cumsum(size)])
-            yield pa.array((c[first[1:]] - c[first[:-1]]) / np.maximum(s[first[1:]] - s[first[:-1]], 1))
+            out = [np.zeros(0)]
+            for raw, off in slices(texts):
+                x, size, first = line_features(raw, off)
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                good = np.bincount(doc, marginals(model, x, first) * size, minlength=len(off) - 1)
+                out.append(good / np.maximum(np.bincount(doc, size, minlength=len(off) - 1), 1))
+            yield pa.array(np.concatenate(out))
 
     return df.withColumn(out, quality(F.col(text)))
