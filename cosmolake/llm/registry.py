@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cosmolake.llm import op2_host_paths, op3_skip_chain, op4_line_frequency, op5_kneser_ney, op7_winnowing, op8_warc, op9_byte_bpe, op10_line_crf
+from cosmolake.llm import op2_host_paths, op3_skip_chain, op4_line_frequency, op5_kneser_ney, op6_templates, op7_winnowing, op8_warc, op9_byte_bpe, op10_line_crf
 from cosmolake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {
         "op3_skip_chain": op3_skip_chain.query,
         "op4_line_frequency": op4_line_frequency.query,
         "op5_kneser_ney": op5_kneser_ney.query,
+        "op6_templates": op6_templates.query,
         "op7_winnowing": op7_winnowing.query,
         "op8_warc": op8_warc.query,
         "op9_byte_bpe": op9_byte_bpe.query,
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op4_line_frequency": op4_line_frequency.SQL,
+    "op6_templates": op6_templates.SQL,
     "op7_winnowing": op7_winnowing.SQL,
     "op8_warc": op8_warc.SQL,
 }
