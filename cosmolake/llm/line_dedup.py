@@ -69,13 +69,13 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     found = windows(line_rows(docs, key, text), min_words)
     place = F.struct("_d", "_t", "_at")
     twice = found.groupBy("_fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("_fp")
-    candidates = stored(found.join(twice, "_fp", "left_semi").select("_d", "_t", "_kind", "_from", "_to", "_k", "_m"), "windows")
+    candidates = stored(found.join(stored(twice, "fingerprints"), "_fp", "left_semi").select("_d", "_t", "_kind", "_from", "_to", "_k", "_m"), "windows")
     start = F.struct("_d", "_t", "_from")
     first = (
         candidates.groupBy("_kind", "_k", "_m").agg(F.min(start).alias("_first"), F.count(F.lit(1)).alias("_c"))
         .where("_c > 1").drop("_c")
     )
-    later = candidates.join(first, ["_kind", "_k", "_m"]).where(start > F.col("_first")).select("_d", "_t", "_from", "_to")
+    later = candidates.join(stored(first, "runs"), ["_kind", "_k", "_m"]).where(start > F.col("_first")).select("_d", "_t", "_from", "_to")
     order = W.partitionBy("_d", "_t").orderBy("_from", "_to").rowsBetween(W.unboundedPreceding, -1)
     new = F.greatest(F.col("_from"), F.coalesce(F.max("_to").over(order) + 1, F.lit(0)))
     cover = later.withColumn("_new", new).where("_new <= _to").select("_d", "_t", F.sequence("_new", "_to").alias("_r"))

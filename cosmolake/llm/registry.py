@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cosmolake.llm import op2_host_paths, op3_skip_chain, op4_line_frequency, op5_kneser_ney, op6_templates, op7_winnowing, op8_warc, op9_byte_bpe, op10_line_crf
+from cosmolake.llm import op1_odd_sketch, op2_host_paths, op3_skip_chain, op4_line_frequency, op5_kneser_ney, op6_templates, op7_winnowing, op8_warc, op9_byte_bpe, op10_line_crf
 from cosmolake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def shipped(f: Query) -> Query:
 QUERIES: dict[str, Query] = {
     k: shipped(f)
     for k, f in {
+        "op1_odd_sketch": op1_odd_sketch.query,
         "op2_host_paths": op2_host_paths.query,
         "op3_skip_chain": op3_skip_chain.query,
         "op4_line_frequency": op4_line_frequency.query,
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_odd_sketch": op1_odd_sketch.SQL,
     "op4_line_frequency": op4_line_frequency.SQL,
     "op6_templates": op6_templates.SQL,
     "op7_winnowing": op7_winnowing.SQL,
