@@ -2,31 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cosmolake.plans import q_tree
+from cosmolake.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = QUERIES["tree_mutual_best"]
 
-from cosmolake.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, where SQL can express it, its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts by species stand-in."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "q_tree"]
