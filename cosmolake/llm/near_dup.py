@@ -132,11 +132,15 @@ def prefix(size: Column, percent: int) -> Column:
 def more_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of different components that one leader's members may still link."""
     found = star.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    token = found.select("leader", "node", "root", F.explode(F.slice(F.sort_array("new"), F.lit(1), prefix(F.col("size"), percent).cast("int"))).alias("t"))
+    first = F.slice(F.sort_array("new"), F.lit(1), prefix(F.col("size"), percent).cast("int"))
+    token = found.select("leader", "node", "root", "size", F.posexplode(first).alias("pos", "t"))
     mixed = stored(token.groupBy("leader", "t").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("leader", "t"), "mixed")
     token = stored(token.join(mixed, ["leader", "t"]), "tokens")
     x, y = token.alias("x"), token.alias("y")
-    shared = x.join(y, ["leader", "t"]).where("x.root <> y.root and x.node < y.node").select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
+    # At a pair's smallest common shingle, what follows in either set bounds the intersection.
+    rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    enough = (100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size"))
+    shared = x.join(y, ["leader", "t"]).where((F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")) & enough).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
     reach = lambda common, a, b: (100 + percent) * F.col(common) >= percent * (F.col(a) + F.col(b))
     least = stored(found.groupBy("leader").agg(F.least(F.min("size"), F.min("lead")).alias("least")), "least")
