@@ -41,12 +41,12 @@ def potential(members: DataFrame, keys: list[str], tiny: float = 5e-16) -> DataF
     """
     x = enclosed(members, keys)
     w = by_distance(keys)
-    x = x.withColumn("_i", F.when(F.col("d") > tiny, F.col("m_in") / (F.col("d") * F.col("d"))))
+    x = x.withColumn("_i", F.when(F.col("d") > tiny, F.try_divide("m_in", F.col("d") * F.col("d"))))
     before = F.coalesce(F.last("_i", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     x = x.withColumn("_step", F.when(F.col("d") > tiny, 0.5 * (F.col("_i") + before) * (F.col("d") - F.coalesce(F.lag("d").over(w), F.lit(0.0)))).otherwise(F.lit(0.0)))
     x = x.withColumn("phi", F.sum("_step").over(so_far(keys)))
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return x.withColumn("phi0", F.last("phi").over(every) + F.last(F.col("m_in") / F.col("d")).over(every)).drop("_i", "_step")
+    return x.withColumn("phi0", F.last("phi").over(every) + F.last(F.coalesce(F.try_divide("m_in", "d"), F.lit(0.0))).over(every)).drop("_i", "_step")
 
 
 def escape_velocity(members: DataFrame, keys: list[str], factor: float = 1.0) -> DataFrame:
@@ -54,7 +54,7 @@ def escape_velocity(members: DataFrame, keys: list[str], factor: float = 1.0) ->
 
 
 def overdensity(m_in: Column, d: Column, factor: float = 1.0) -> Column:
-    return m_in / (4 * math.pi / 3 * d * d * d) * factor
+    return F.try_divide(m_in, 4 * math.pi / 3 * d * d * d) * factor
 
 
 def virial_cut(members: DataFrame, keys: list[str], delta: float, factor: float = 1.0) -> DataFrame:
@@ -82,8 +82,8 @@ def binned(members: DataFrame, keys: list[str], min_part: int = 20) -> DataFrame
     x = ranked(members, keys).withColumn("_n", F.count(F.lit(1)).over(all_))
     lo = F.min(F.when((F.col("rn") > min_part // 10) & (F.col("d") > 0), F.col("d"))).over(all_)
     x = x.withColumns({"nbins": bin_count(F.col("_n")), "_lo": F.coalesce(lo, F.max("d").over(all_)), "_hi": F.max("d").over(all_)})
-    step = (F.log10("_hi") - F.log10("_lo")) / (F.col("nbins") - 1)
-    k = F.when(F.col("d") < F.col("_lo"), F.lit(0)).when((F.col("d") >= F.col("_hi")) | (F.col("_hi") <= F.col("_lo")), F.col("nbins") - 1).otherwise(F.floor((F.log10("d") - F.log10("_lo")) / step) + 1)
+    step = F.try_divide(F.log10("_hi") - F.log10("_lo"), F.col("nbins") - 1)
+    k = F.when(F.col("d") < F.col("_lo"), F.lit(0)).when((F.col("d") >= F.col("_hi")) | (F.col("_hi") <= F.col("_lo")), F.col("nbins") - 1).otherwise(F.floor(F.try_divide(F.log10("d") - F.log10("_lo"), step)) + 1)
     x = x.withColumn("bin", F.least(k, F.col("nbins") - 1).cast("int"))
     return x.withColumn("r_edge", F.pow(F.lit(10.0), F.log10("_lo") + F.col("bin") * F.when(F.col("nbins") > 1, step).otherwise(F.lit(0.0)))).drop("_n", "_lo", "_hi")
 
@@ -95,7 +95,7 @@ def profile(members: DataFrame, keys: list[str], min_part: int = 20, g: float =
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = b.withColumns({"npart": F.sum("n").over(run), "m_in_r": F.sum("mass").over(run), "_r": F.coalesce(F.lag("r").over(w), F.lit(0.0))})
     volume = lambda r: 4 * math.pi / 3 * r * r * r
-    return x.select("halo_id", "bin", "r", "npart", "m_in_r", (F.col("m_in_r") / volume(F.col("r"))).alias("ovdens"), (F.col("mass") / (volume(F.col("r")) - volume(F.col("_r")))).alias("dens"), F.sqrt(g * F.col("m_in_r") / F.col("r")).alias("v_circ"))
+    return x.select("halo_id", "bin", "r", "npart", "m_in_r", F.try_divide("m_in_r", volume(F.col("r"))).alias("ovdens"), F.try_divide("mass", volume(F.col("r")) - volume(F.col("_r"))).alias("dens"), F.sqrt(F.try_divide(g * F.col("m_in_r"), "r")).alias("v_circ"))
 
 
 def convergence_radius(prof: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def convergence_radius(prof: DataFrame) -> DataFrame:
     all_ = Window.partitionBy("halo_id")
     last = F.max(F.struct("bin", "r", "v_circ")).over(all_)
     x = prof.withColumns({"_rl": last["r"], "_vl": last["v_circ"]})
-    bad = (F.col("npart") <= 1) | (F.col("npart") / F.log(F.col("npart").cast("double")) / 8 * F.col("r") / F.col("v_circ") < 0.6 * F.col("_rl") / F.col("_vl"))
+    bad = (F.col("npart") <= 1) | (F.try_divide(F.col("npart") * F.col("r"), F.log(F.col("npart").cast("double")) * 8 * F.col("v_circ")) < F.try_divide(0.6 * F.col("_rl"), F.col("_vl")))
     x = x.withColumn("_last", F.max(F.when(bad, F.col("bin"))).over(all_))
     return x.withColumn("r", F.when(F.col("bin") <= F.col("_last"), -F.col("r")).otherwise(F.col("r"))).drop("_rl", "_vl", "_last")
 
