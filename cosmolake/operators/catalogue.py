@@ -283,3 +283,8 @@ def farthest_star(members: DataFrame, species: str) -> DataFrame:
     """(halo_id, r_star, m_enclosed): radius of the outermost particle of a species and the mass within it."""
     r = members.groupBy("halo_id").agg(F.max(F.when(F.col("species") == species, F.col("d"))).alias("r_star"))
     return members.join(r, "halo_id").where("d <= r_star").groupBy("halo_id").agg(F.first("r_star").alias("r_star"), F.sum("m").alias("m_enclosed"))
+
+
+def with_densities(members: DataFrame, densities: DataFrame, key: str = "pid") -> DataFrame:
+    """Members with what another table knows of their particles; particles it lacks are left out."""
+    return members.join(densities, key)

@@ -181,3 +181,45 @@ def smoothed_power(power: DataFrame) -> DataFrame:
     w = W.orderBy("k").rowsBetween(-1, 1)
     return power.withColumn("smooth", F.avg("power").over(w))
 
+
+
+def hilbert_key(x: Column, y: Column, z: Column, bits: int = 10, box: float = 1.0) -> Column:
+    """Place of a point on a Hilbert curve through 2**bits cells a side, by bit operations in one aggregate over the levels.
+
+    The state is the walk's: an axis permutation and a flip, kept as three
+    axis numbers and three signs; each level adds three bits to the key.
+    """
+    n = 1 << bits
+    q = [F.least(F.greatest(F.floor(c / box * n), F.lit(0)), F.lit(n - 1)).cast("int") for c in (x, y, z)]
+    level = F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1))
+    start = F.struct(q[0].alias("a"), q[1].alias("b"), q[2].alias("c"))
+
+    def undo(s: Column, bit: Column) -> Column:
+        # Inverse undo of Skilling's transform at one level: for each axis, invert the low bits of the first axis or exchange them.
+        one = F.expr("1")
+        high = F.call_function("shiftleft", one, bit)
+        low = high - 1
+        v = [s["a"], s["b"], s["c"]]
+        for i in range(3):
+            t = v[0].bitwiseXOR(v[i]).bitwiseAND(low)
+            hit = v[i].bitwiseAND(high) != 0
+            first = F.when(hit, v[0].bitwiseXOR(low)).otherwise(v[0].bitwiseXOR(t))
+            if i:
+                v[i] = F.when(hit, v[i]).otherwise(v[i].bitwiseXOR(t))
+            v[0] = first
+        return F.struct(v[0].alias("a"), v[1].alias("b"), v[2].alias("c"))
+
+    upper = F.filter(level, lambda b: b > 0)
+    s = F.aggregate(upper, start, undo)
+    return F.aggregate(F.array(s), F.lit(0).cast("long"), lambda acc, v: acc + _curve(v, bits))
+
+
+def _curve(v: Column, bits: int) -> Column:
+    """Gray decoding and interleaving of the transformed coordinates."""
+    down = lambda last: F.sequence(F.lit(bits - 1), F.lit(last), F.lit(-1)) if bits > last else F.array().cast("array<int>")
+    shift = lambda k: F.call_function("shiftleft", F.expr("1"), k)
+    flip = F.aggregate(down(1), F.lit(0), lambda t, k: F.when(v["a"].bitwiseXOR(v["b"]).bitwiseXOR(v["c"]).bitwiseAND(shift(k)) != 0, t.bitwiseXOR(shift(k) - 1)).otherwise(t))
+    start = F.struct(v["a"].alias("a"), v["a"].bitwiseXOR(v["b"]).alias("b"), v["a"].bitwiseXOR(v["b"]).bitwiseXOR(v["c"]).alias("c"), flip.alias("t"))
+    bit = lambda x, t, k: F.call_function("shiftright", x.bitwiseXOR(t), k).bitwiseAND(F.expr("1")).cast("long")
+    place = lambda s: F.aggregate(down(0), F.lit(0).cast("long"), lambda key, k: key * 8 + bit(s["a"], s["t"], k) * 4 + bit(s["b"], s["t"], k) * 2 + bit(s["c"], s["t"], k))
+    return F.aggregate(F.array(start), F.lit(0).cast("long"), lambda acc, s: acc + place(s))

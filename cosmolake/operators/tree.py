@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from cosmolake.functions.expr import frac, merit
+from cosmolake.functions.expr import distance2, frac, merit
 from cosmolake.operators.rounds import stored
 
 MIN_COMMON = 10
@@ -163,3 +163,17 @@ def croco(edges: DataFrame) -> DataFrame:
     r = edges if "rank" in edges.columns else ranked(edges)
     progs = F.sort_array(F.collect_list(F.struct("rank", "progid", "npart_prog", "common", "merit")))
     return r.groupBy("snap", "haloid").agg(F.first("npart").alias("npart"), F.count(F.lit(1)).alias("n_progs"), progs.alias("progs"))
+
+
+def host_distances(objects: DataFrame, hosts: DataFrame, halos: DataFrame, box: float = 1.0) -> DataFrame:
+    """(halo, host, snap, id, dist): distance to the host along both main branches, in radii of the host's progenitor.
+
+    ``objects`` (halo, host, snap, id) are traced objects with the host of the
+    start; ``hosts`` (host, snap, host_prog) traced hosts; halos (snap,
+    halo_id, x, y, z, radius). Snapshots at which either is missing are left out.
+    """
+    own = halos.select("snap", F.col("halo_id").alias("id"), *(F.col(k).alias(f"o_{k}") for k in "xyz"))
+    its = halos.select("snap", F.col("halo_id").alias("host_prog"), *(F.col(k).alias(f"h_{k}") for k in "xyz"), "radius")
+    x = objects.join(hosts, ["host", "snap"]).join(own, ["snap", "id"]).join(its, ["snap", "host_prog"])
+    d = F.sqrt(distance2([F.col(f"o_{k}") for k in "xyz"], [F.col(f"h_{k}") for k in "xyz"], box))
+    return x.select("halo", "host", "snap", "id", F.try_divide(d, "radius").alias("dist"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosmolake.functions import cosmology, expr
-from cosmolake.operators import grid, stats
+from cosmolake.operators import catalogue, grid, stats
 from cosmolake.plans.q_catalogue import PH, d2
 from cosmolake.plans.registry import query
 from cosmolake.plans.views import HALOS, POINTS, halos, points
@@ -50,6 +50,18 @@ def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8))
 
 
+@query("halo_particle_densities", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid % 10 AS halo_id, pid, dens FROM q WHERE pid % 3 = 0")
+def _halo_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    m = p.where("pid % 3 = 0").select((F.col("pid") % 10).alias("halo_id"), "pid")
+    return catalogue.with_densities(m, grid.density_at(p, 8).withColumn("dens", F.round("dens", 8))).select("halo_id", "pid", "dens")
+
+
+@query("hilbert_keys")
+def _hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select("pid", grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 6).alias("key"))
+
+
 @query("density_order", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid, dens FROM q ORDER BY dens DESC, pid LIMIT 50")
 def _density_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8)).orderBy(F.desc("dens"), "pid").limit(50)

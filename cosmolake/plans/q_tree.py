@@ -137,3 +137,18 @@ def _skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _croco(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array_join(F.transform("progs", lambda p: F.concat(p["progid"].cast("string"), F.lit(":"), p["common"].cast("string"))), ",")
     return tree.croco(edges(spark, sf_dir)).withColumn("progs", text)
+
+
+TRACKED = f"""{TRACE}, pos AS (SELECT DISTINCT snap, halo_id, (halo_id * 37 + snap * 11) % 100 / 100.0::DOUBLE AS x, (halo_id * 17 + snap * 7) % 100 / 100.0::DOUBLE AS y, (halo_id * 53 + snap * 3) % 100 / 100.0::DOUBLE AS z, 0.1::DOUBLE + (halo_id % 5) * 0.02::DOUBLE AS radius FROM mem),
+ ob AS (SELECT haloid AS halo, (haloid + 1) % 25 AS host, snap, progid AS id FROM tr), ht AS (SELECT haloid AS host, snap, progid AS host_prog FROM tr),
+ dd AS (SELECT halo, ob.host, ob.snap, id, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, b.radius FROM ob JOIN ht ON ht.host = ob.host AND ht.snap = ob.snap JOIN pos a ON a.snap = ob.snap AND a.halo_id = id JOIN pos b ON b.snap = ob.snap AND b.halo_id = host_prog)"""
+
+
+@query("host_distance_track", f"{TRACKED} SELECT halo, host, snap, id, round(sqrt((dx - floor(dx + 0.5)) * (dx - floor(dx + 0.5)) + (dy - floor(dy + 0.5)) * (dy - floor(dy + 0.5)) + (dz - floor(dz + 0.5)) * (dz - floor(dz + 0.5))) / radius, 6) AS dist FROM dd")
+def _host_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = traced(spark, sf_dir)
+    place = lambda a, b: ((F.col("halo_id") * a + F.col("snap") * b) % 100) / 100.0
+    pos = membership(spark, sf_dir).select("snap", "halo_id").distinct().select("snap", "halo_id", place(37, 11).alias("x"), place(17, 7).alias("y"), place(53, 3).alias("z"), (0.1 + (F.col("halo_id") % 5) * 0.02).alias("radius"))
+    objects = t.select(F.col("haloid").alias("halo"), ((F.col("haloid") + 1) % 25).alias("host"), "snap", F.col("progid").alias("id"))
+    hosts = t.select(F.col("haloid").alias("host"), "snap", F.col("progid").alias("host_prog"))
+    return tree.host_distances(objects, hosts, pos).withColumn("dist", F.round("dist", 6))

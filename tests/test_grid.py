@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cosmolake.operators import grid
 from cosmolake.operators.rounds import min_labels
@@ -59,3 +60,12 @@ def test_two_clumps_and_one_over_the_border(spark):
     assert len(got) >= 2 and got[0][0] >= 195 and got[1][0] >= 97
     assert got[0][1] == pytest.approx(0.2, abs=0.1) and got[1][1] == pytest.approx(0.0, abs=0.01) and got[0][2] == got[1][2] == -1
     assert members.count() == sum(g[0] for g in got) and profiles.count() > 0
+
+
+def test_hilbert_neighbours_along_the_curve_touch(spark):
+    n = 4
+    rows = [((i + 0.5) / n, (j + 0.5) / n, (k + 0.5) / n) for i in range(n) for j in range(n) for k in range(n)]
+    got = particles(spark, rows).select("x", "y", "z", grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 2).alias("key")).orderBy("key").collect()
+    assert [r["key"] for r in got] == list(range(64))
+    for a, b in zip(got, got[1:], strict=False):
+        assert sum(abs(a[c] - b[c]) for c in "xyz") == pytest.approx(1 / n)
