@@ -213,7 +213,7 @@ def catalogue_bin(spark: SparkSession, path: str | list[str], longs: list[str],
 
 
 #: Formats that need a library this engine doesn't bring, and numbers of formats that no reader serves.
-UNSUPPORTED = ("hdf5", "art", "deva", "pamiga", "mlapm", "unknown")
+UNSUPPORTED = ("hdf5", "art", "deva", "unknown")
 
 
 def snapshot(spark: SparkSession, path: str | list[str], kind: str, **options) -> DataFrame:

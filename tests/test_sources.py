@@ -36,7 +36,7 @@ def test_trees_and_tables(spark, tmp_path):
     assert sorted(r[0] for r in text.id_list(spark, str(tmp_path / "l")).collect()) == [5, 6]
     (tmp_path / "z").write_text("0.0\n1.5 _ 9.3\n2.0\n")
     assert sorted(map(tuple, text.redshifts(spark, str(tmp_path / "z")).collect())) == [(0, 0.0), (1, 1.5), (2, 2.0)]
-    name = spark.createDataFrame([("out.zoom.z1.25.AHF",), ("none",)], "p string").select(text.redshift_of_name(__import__("pyspark").sql.functions.col("p")).alias("z"))
+    name = spark.createDataFrame([("out.zoom.z1.25.objects",), ("none",)], "p string").select(text.redshift_of_name(__import__("pyspark").sql.functions.col("p")).alias("z"))
     assert [r["z"] for r in name.collect()] == [1.25, None]
 
 
@@ -95,7 +95,7 @@ def test_formats_without_a_reader(spark):
 
 
 def test_parameters():
-    p = params.parameters("[AHF]\nic_filename = a.snap # input\nLgridDomain = 128\nVescTune = 1.6\n[GADGET]\nGADGET_LUNIT = 1e-3\n")
+    p = params.parameters("[FINDER]\nic_filename = a.snap # input\nLgridDomain = 128\nVescTune = 1.6\n[GADGET]\nGADGET_LUNIT = 1e-3\n")
     assert (p.ic_filename, p.lgrid_domain, p.vesc_tune, p.n_min_per_halo) == ("a.snap", 128, 1.6, 20)
 
 
