@@ -29,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cosmolake.llm._shared import stored
+
 DEEP = 60  #: Elements deeper than this share their ancestor's path, which bounds a path's length.
+BROADCAST_HOSTS = 200_000  #: Winning paths are broadcast up to so many hosts.
 VOTES = 3  #: A page votes with its best paths, at most so many.
 
 # Element kinds of the HTML standard.
@@ -265,7 +268,9 @@ def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``out``: the main text by the host's winning path."""
-    won = votes(pages, url, page).withColumnsRenamed({"host": "_host", "path": "_path"})
+    won = stored(votes(pages, url, page).withColumnsRenamed({"host": "_host", "path": "_path"}), "votes")
+    if won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        won = F.broadcast(won)  # then no page moves; beyond that, a join whose large partitions are split
     keyed = pages.withColumn("_h", host(F.col(url)))
     joined = keyed.join(won, F.col("_h") == F.col("_host"), "left")
 
