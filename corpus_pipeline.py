@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cosmolake.llm import bpe, decontaminate, line_dedup, near_dup, op9_byte_bpe, op10_line_crf, quality_crf
-from cosmolake.llm._shared import stored
+from cosmolake.llm._shared import bounded, stored
 from cosmolake.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,6 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model scores at the threshold or above; trained on ``labels`` outside the held-out quarter."""
     ship(spark)
+    bounded(spark)
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = op10_line_crf.model(every, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_crf.score(docs, "text", model).where(F.col("score") >= op10_line_crf.THRESHOLD).select(*COLUMNS)
@@ -38,6 +39,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     ship(spark)
+    bounded(spark)
     return near_dup.kept_docs(docs).select(*COLUMNS)
 
 
@@ -50,8 +52,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids, their number, and digests of the ids and of the bytes that they decode to."""
     ship(spark)
+    bounded(spark)
     path = public_tokenizers.path(op9_byte_bpe.FILE)
-    x = bpe.decode(bpe.encode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN), "ids", path)
+    x = bpe.encode_decode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN)
     return x.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

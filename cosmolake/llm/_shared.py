@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+ARROW_ROWS = 2_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``ARROW_ROWS`` rows in this session: texts can be long, and a worker holds a batch and what it makes of it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
     spark = df.sparkSession
@@ -50,7 +60,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-MEMO = 400_000  #: Entries of the per-worker memo; it starts afresh beyond that, which changes no result.
+FAN = 8  #: Children of a node of the segment tree.
+MEMO = 400_000  #: Entries of the per-worker memo; the oldest half goes beyond that, which changes no result.
 
 
 @lru_cache(2)
@@ -41,48 +42,42 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
-    size = 1 << (n - 1).bit_length()
-    tree = [INF] * (2 * size)  # a node: rank * size + position, whose minimum is the leftmost least rank
     get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r * size + i
-    for k in range(size - 1, 0, -1):
-        left, right = tree[2 * k], tree[2 * k + 1]
-        tree[k] = left if left < right else right
+    # A leaf holds rank * n + position of the pair that starts there, so the least value is the leftmost least rank.
+    leaves = [INF if (r := get(piece[i : i + 2])) is None else r * n + i for i in range(n - 1)]
+    leaves.append(INF)
+    tree = [leaves]
+    while len(tree[-1]) > FAN:
+        below = tree[-1]
+        tree.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+    upper, root = tree[1:], tree[-1]
     end = list(range(1, n + 1))  # end of the token that starts here
     begin = list(range(n))  # start of the token that ends just before position + 1
-
-    def put(i: int, value: int) -> None:
-        k = size + i
-        tree[k] = value
-        k >>= 1
-        while k:
-            left, right = tree[2 * k], tree[2 * k + 1]
-            low = left if left < right else right
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    def pair(i: int) -> int:
-        j = end[i]
-        if j >= n:
-            return INF
-        r = get(piece[i : end[j]])
-        return INF if r is None else r * size + i
-
-    while (low := tree[1]) < INF:
-        i = low % size
+    low = min(root)
+    while low < INF:
+        i = low % n
         j = end[i]
-        end[i] = end[j]
-        begin[end[i] - 1] = i
-        put(j, INF)
-        put(i, pair(i))
+        stop = end[j]
+        end[i] = stop
+        begin[stop - 1] = i
+        leaves[j] = INF
+        leaves[i] = INF if stop >= n or (r := get(piece[i : end[stop]])) is None else r * n + i
+        changed = [i, j]
         if i:
             h = begin[i - 1]
-            put(h, pair(h))
+            leaves[h] = INF if (r := get(piece[h:stop])) is None else r * n + h
+            changed.append(h)
+        if upper:
+            for k in changed:
+                below = leaves
+                for level in upper:
+                    k //= FAN
+                    least = min(below[FAN * k : FAN * k + FAN])
+                    if level[k] == least:
+                        break
+                    level[k] = least
+                    below = level
+        low = min(root)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -91,20 +86,28 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Ids of pre-tokens, and of chunks whose ends are sure to be pre-token ends."""
+    """Ids of pre-tokens, and of chunks whose ends are sure to be pre-token ends.
+
+    Two generations of half the bound each: when one is full it becomes the
+    old one, from which what is still in use comes back.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        found = self.find(chunk)
-        if len(found) == 1:
-            ids = tuple(merge_bytes(chunk.encode(), self.ranks))
-        else:
-            ids = tuple(chain.from_iterable(map(self.__getitem__, found)))
+        ids = self.old.get(chunk)
+        if ids is None:
+            found = self.find(chunk)
+            if len(found) == 1:
+                ids = tuple(merge_bytes(chunk.encode(), self.ranks))
+            else:
+                ids = tuple(chain.from_iterable(map(self.__getitem__, found)))
         if len(chunk) <= 256:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -167,32 +170,56 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
     """
 
     @F.arrow_udf("array<int>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = _memo(path, pattern)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            lens, parts = np.zeros(len(texts) + 1, np.int32), []
-            for k, t in enumerate(texts):
-                got = np.fromiter(chain.from_iterable(map(memo.__getitem__, chunks(t.as_py() or ""))), np.int32)
-                lens[k + 1] = len(got)
-                parts.append(got)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(np.cumsum(lens, dtype=np.int32), flat)
+            yield _list_array(_encoded(texts, path, pattern))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def _encoded(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
+    look = _memo(path, pattern).__getitem__
+    return [np.fromiter(chain.from_iterable(map(look, chunks(t.as_py() or ""))), np.int32) for t in texts]
 
-    return df.withColumn(out, ids(F.col(text)))
+
+def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
+    off = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=off[1:])
+    return pa.ListArray.from_arrays(off, np.concatenate(parts) if parts else np.zeros(0, np.int32))
+
+
+@lru_cache(2)
+def _table(path: str) -> dict[int, bytes]:
+    return {r: t for t, r in load_ranks(path).items()}
 
 
 def decode(df: DataFrame, ids: str, path: str, out: str = "decoded") -> DataFrame:
     """``df`` with ``out`` (binary): the bytes that the ids stand for. A null array gives no bytes; an unknown id raises."""
 
     @F.arrow_udf("binary")
-    def raw(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = {r: t for t, r in load_ranks(path).items()}
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        look = _table(path).__getitem__
         for arrays in batches:
             off, flat = arrays.offsets.to_numpy(), arrays.values.to_numpy(zero_copy_only=False).tolist()
             nulls = arrays.is_null().to_numpy(zero_copy_only=False)
-            yield pa.array([b"" if nulls[k] else b"".join(map(table.__getitem__, flat[off[k] : off[k + 1]])) for k in range(len(arrays))], pa.binary())
+            yield pa.array([b"" if nulls[k] else b"".join(map(look, flat[off[k] : off[k + 1]])) for k in range(len(arrays))], pa.binary())
+
+    return df.withColumn(out, run(F.col(ids)))
+
+
+def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and then :func:`decode` of its ids, in one worker a task instead of two."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        look = _table(path).__getitem__
+        for texts in batches:
+            parts = _encoded(texts, path, pattern)
+            raw = pa.array([b"".join(map(look, p.tolist())) for p in parts], pa.binary())
+            yield pa.StructArray.from_arrays([_list_array(parts), raw], ["ids", "decoded"])
 
-    return df.withColumn(out, raw(F.col(ids)))
+    x = df.withColumn("_both", run(F.col(text)))
+    return x.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
 
 
 def ids_text(ids: str) -> Column:

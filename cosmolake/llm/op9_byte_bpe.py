@@ -14,7 +14,7 @@ FILE = "byte_bpe_multi_50k.tiktoken"
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row (null text: empty)."""
     path = public_tokenizers.path(FILE)
-    x = bpe.decode(bpe.encode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN), "ids", path)
+    x = bpe.encode_decode(docs.select("doc_id", "text"), "text", path, public_tokenizers.PATTERN)
     return x.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cosmolake.llm import op1_odd_sketch, op2_host_paths, op3_skip_chain, op4_line_frequency, op5_kneser_ney, op6_templates, op7_winnowing, op8_warc, op9_byte_bpe, op10_line_crf
+from cosmolake.llm._shared import bounded
 from cosmolake.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def shipped(f: Query) -> Query:
-    """``f`` once the workers have this package."""
+    """``f`` once the workers have this package and batches are bounded."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        bounded(spark)
         return f(spark, sf_dir)
 
     return run

@@ -48,5 +48,12 @@ def test_query_digests_and_edge_cases(spark, reference):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_separate_operators_give_the_same(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([None, "", "Hello world", "é 🎉"])], "doc_id long, text string")
+    two = bpe.decode(bpe.encode(df, "text", PATH, public_tokenizers.PATTERN), "ids", PATH)
+    one = bpe.encode_decode(df, "text", PATH, public_tokenizers.PATTERN)
+    assert two.columns == one.columns and sorted(map(str, two.collect())) == sorted(map(str, one.collect()))
+
+
 def test_empty_table(spark):
     assert op9_byte_bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
