@@ -64,6 +64,7 @@ class Element:
     inside: bool = False  #: Whether it or an ancestor is boilerplate.
     article: bool = False  #: Whether it or an ancestor is an article.
     depth: int = 0
+    box: Element | None = None  #: The nearest container, itself included.
     chosen: bool | None = None
     order: int = 0
 
@@ -164,6 +165,7 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
             e.inside = up.inside or e.boiler
             e.article = up.article or tag in ("article", "main")
             e.depth = up.depth + 1
+            e.box = e if tag in CONTAINER else up.box
             stack.append(e)
             opened[tag] += 1
             links += tag == "a"
@@ -195,12 +197,11 @@ def score(blocks: list[Block], containers: list[Element]) -> list[Element]:
             continue
         size = sum(map(len, b.parts))
         worth = float(size - 2 * b.linked) * (0.3 if "/li" in b.owner.path else 1.0)
-        e, share = b.owner, 1.0
+        e, share = b.owner.box, 1.0
         while e is not None and share > 0.05:
-            if e.tag in CONTAINER:
-                e.score += worth * share * (1.5 if e.tag in ("article", "main") else 1.0)
-                share /= 2
-            e = e.up
+            e.score += worth * share * (1.5 if e.tag in ("article", "main") else 1.0)
+            share /= 2
+            e = e.up.box
     return sorted((c for c in containers if not c.inside and c.score > 0), key=lambda c: (-c.score, c.order))
 
 
