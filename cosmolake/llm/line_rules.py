@@ -21,7 +21,7 @@ from cosmolake.llm._shared import stored
 
 BLANKS = "[ \\t-\\r]+"
 MIN_DOCS, SHARE, DEPLETED = 10, 0.02, 0.5
-BROADCAST_ROWS = 200_000  #: Lines over the limit are broadcast up to so many, joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000  #: Hosts and lines over the limit are broadcast up to so many, joined by a shuffle beyond.
 
 
 def word_array(text: Column) -> Column:
@@ -64,6 +64,11 @@ def normal(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(line)), "[0-9]+", "0")
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small; else a join of its exchange, whose large partitions can be split."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """(_d, _t, _host, _i, _h, _n): lines with a word."""
     x = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_d"), F.xxhash64(text).alias("_t"), F.coalesce(F.col(host), F.lit("")).alias("_host"), F.posexplode(F.split(F.col(text), "\n")).alias("_i", "_line"))
@@ -74,7 +79,7 @@ def _lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(_host, _h, _docs): normalised lines over the host's limit."""
     x = docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    per_host = x.groupBy("_host").agg(F.count(F.lit(1)).alias("_all"))
+    per_host = _sized(stored(x.groupBy("_host").agg(F.count(F.lit(1)).alias("_all")), "hosts"))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     seen = x.select("_host", F.explode(F.array_distinct(F.transform(lines, lambda line: F.xxhash64(normal(line))))).alias("_h"))
     counts = seen.groupBy("_host", "_h").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > min_docs)
@@ -83,9 +88,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", mi
 
 def lost_words(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(_d, _t, n_lost_words, n_lost_lines) of documents that hold a line over the limit."""
-    over = stored(frequent_lines(docs, text, host, min_docs, share), "lines").drop("_docs")
-    if over.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        over = F.broadcast(over)
+    over = _sized(stored(frequent_lines(docs, text, host, min_docs, share), "lines").drop("_docs"))
     hit = _lines(docs, key, text, host).join(over, ["_host", "_h"], "left_semi")
     return hit.groupBy("_d", "_t", "_i").agg(F.first("_n").alias("_n")).groupBy("_d", "_t").agg(F.sum("_n").alias("n_lost_words"), F.count(F.lit(1)).alias("n_lost_lines"))
 
@@ -101,9 +104,7 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """``docs`` with ``text`` less the lines over its host's limit."""
-    over = stored(frequent_lines(docs, text, host, min_docs, share), "lines").drop("_docs")
-    if over.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        over = F.broadcast(over)
+    over = _sized(stored(frequent_lines(docs, text, host, min_docs, share), "lines").drop("_docs"))
     gone = _lines(docs, key, text, host).join(over, ["_host", "_h"], "left_semi").groupBy("_d", "_t").agg(F.collect_set("_i").alias("_gone"))
     x = docs.withColumn("_ht", F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_ht") == F.col("_t")), "left")
     lines = F.split(F.col(text), "\n")
