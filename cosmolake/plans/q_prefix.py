@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cosmolake.functions import halo_math
 from cosmolake.operators import prefix as p
+from cosmolake.operators.catalogue import keep_ids
 from cosmolake.plans.registry import query
 from cosmolake.plans.views import MEMBERS, members
+from cosmolake.session import table
 
 KEYS = ["oid", "lno", "part", "m"]
 ORDER = "PARTITION BY halo_id ORDER BY d, oid, lno, part, m"
@@ -188,3 +190,9 @@ def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = p.Window.partitionBy("halo_id").orderBy("bin")
     return p.profile(sized(spark, sf_dir), KEYS).select("halo_id", "bin", F.round(F.avg("m_in_r").over(w.rowsBetween(-1, 1)), 5).alias("smooth3"), F.round(F.avg("m_in_r").over(w.rowsBetween(-2, 2)), 5).alias("smooth5"))
+
+
+@query("profiles_of_listed_halos", f"WITH {BINS} SELECT halo_id, bin, round(r, 6) AS r, npart::BIGINT AS npart FROM prof WHERE halo_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("halo_id"))
+    return keep_ids(p.profile(sized(spark, sf_dir), KEYS), ids).select("halo_id", "bin", F.round("r", 6).alias("r"), "npart")
