@@ -14,6 +14,7 @@ Nulls count as empty texts and give no ids. Texts are whole, of any length.
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 INF = 1 << 60
 FAN = 8  #: Children of a node of the segment tree.
-MEMO = 400_000  #: Entries of the per-worker memo; the oldest half goes beyond that, which changes no result.
+TOGETHER = 5000  #: Pieces whose trees stand side by side.
+MEMO = 800_000  #: Entries of the per-worker memo; the oldest half goes beyond that, which changes no result.
 
 
 @lru_cache(2)
@@ -85,6 +87,70 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Pairs:
+    """Ranks of token pairs in sorted arrays: two tokens merge if their bytes together are a token, whose rank is its id."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.base = max(ranks.values(), default=0) + 1
+        found = [(ranks[t[:k]] * self.base + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        found.sort()
+        self.keys = np.array([k for k, _ in found] or [-1], np.int64)
+        self.rank = np.array([r for _, r in found] or [0], np.int64)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def find(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 where they don't merge."""
+        key = x * self.base + y
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], -1)
+
+
+def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
+    """:func:`merge_bytes` of many pieces of at most ``FAN**2`` bytes that aren't tokens themselves: their trees side by side, one merge of each a step."""
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n, width = len(pieces), -(-int(lens.max()) // FAN) * FAN
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    place = np.arange(width)
+    inside = place < lens[:, None]
+    token = np.full((n, width + 1), -1, np.int64)
+    token[:, :-1][inside] = pairs.single[raw]
+    end = np.tile(np.arange(1, width + 2), (n, 1))  # end of the token that starts here
+    begin = np.tile(np.arange(-1, width), (n, 1))  # start of the token that ends here
+    leaf = np.full((n, width), INF, np.int64)  # rank * width + position: the least is the leftmost least rank
+    pair = place < lens[:, None] - 1
+    r = pairs.find(token[:, :-1][pair], token[:, 1:][pair])
+    leaf[pair] = np.where(r < 0, INF, r * width + np.broadcast_to(place, pair.shape)[pair])
+    block = leaf.reshape(n, -1, FAN).min(axis=2)
+    row = np.arange(n)
+    low = block.min(axis=1)
+    while len(row := row[low[row] < INF]):
+        merged, i = np.divmod(low[row], width)
+        j = end[row, i]
+        stop = end[row, j]
+        token[row, i], end[row, i], begin[row, stop] = merged, stop, i
+        h = begin[row, i]
+        r = pairs.find(merged, token[row, stop])
+        leaf[row, j] = INF
+        leaf[row, i] = np.where((r < 0) | (stop >= lens[row]), INF, r * width + i)
+        left = h >= 0
+        r = pairs.find(token[row[left], h[left]], merged[left])
+        leaf[row[left], h[left]] = np.where(r < 0, INF, r * width + h[left])
+        for k in (i, j, h):
+            b = np.maximum(k, 0) // FAN
+            block[row, b] = leaf.reshape(n, -1, FAN)[row, b].min(axis=1)
+        low[row] = block[row].min(axis=1)
+    # Live starts are those that the chain of ends reaches.
+    live = np.zeros((n, width + 1), bool)
+    live[:, 0] = True
+    for k in range(width):
+        at = np.flatnonzero(live[:, k] & (k < lens))
+        live[at, end[at, k]] = True
+    live[:, :-1] &= inside
+    live[:, -1] = False
+    flat, cut = token[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+    return [tuple(flat[a:b]) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+
+
 class _Memo(dict):
     """Ids of pre-tokens, and of chunks whose ends are sure to be pre-token ends.
 
@@ -96,6 +162,26 @@ class _Memo(dict):
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.old: dict[str, tuple[int, ...]] = {}
+        self.pairs = Pairs(ranks)
+        self.complete = bool((self.pairs.single >= 0).all())
+
+    def learn(self, found: set[str]) -> None:
+        """Merge the unknown short pre-tokens among these chunks together, by length, and keep them."""
+        by: dict[int, list[str]] = defaultdict(list)
+        ranks, old = self.ranks, self.old
+        new = {c for c in found if c not in self and c not in old}
+        for c in {x for c in new for x in self.find(c)}:
+            if c in self or c in old:
+                continue
+            raw = c.encode()
+            if raw in ranks:
+                self[c] = (ranks[raw],)
+            elif self.complete and len(raw) <= FAN * FAN:
+                by[-(-len(raw) // FAN)].append(c)
+        for group in by.values():
+            for k in range(0, len(group), TOGETHER):
+                part = group[k : k + TOGETHER]
+                self.update(zip(part, merge_many([c.encode() for c in part], self.pairs), strict=True))
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         ids = self.old.get(chunk)
@@ -178,8 +264,10 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
 
 
 def _encoded(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
-    look = _memo(path, pattern).__getitem__
-    return [np.fromiter(chain.from_iterable(map(look, chunks(t.as_py() or ""))), np.int32) for t in texts]
+    memo = _memo(path, pattern)
+    cut = [chunks(t.as_py() or "") for t in texts]
+    memo.learn(set(chain.from_iterable(cut)))
+    return [np.fromiter(chain.from_iterable(map(memo.__getitem__, c)), np.int32) for c in cut]
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.ListArray:

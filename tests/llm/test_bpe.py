@@ -30,6 +30,14 @@ def test_long_and_odd_texts(reference, text):
     assert bpe.encode_text(text, PATH, public_tokenizers.PATTERN) == reference.encode_ordinary(text)
 
 
+def test_trees_side_by_side_merge_as_one_does():
+    ranks = bpe.load_ranks(PATH)
+    r = random.Random(11)
+    pieces = ["".join(r.choice("theingéßand 中🎉123!?") for _ in range(r.randint(2, 20))).encode()[:64] for _ in range(3000)]
+    pieces = [p for p in pieces if p not in ranks]
+    assert bpe.merge_many(pieces, bpe.Pairs(ranks)) == [tuple(bpe.merge_bytes(p, ranks)) for p in pieces]
+
+
 def test_memo_generations_change_nothing(reference, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 8)
     memo = bpe._Memo(bpe.load_ranks(PATH), public_tokenizers.PATTERN)
