@@ -26,9 +26,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable over undirected edges (a, b); isolated nodes label themselves."""
+    """(node, label): the smallest node reachable over undirected edges (a, b); isolated nodes label themselves.
+
+    Rounds of minimum labels with pointer jumping, each written to the shared
+    folder: their number follows the logarithm of a component's diameter.
+    Messages are pre-aggregated, so a hub's edges meet as partial minima.
+    """
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    label = stored(nodes.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_b"))
+    label = stored(nodes.select("node").distinct().join(least, "node", "left").select("node", F.least("node", "_b").alias("label")), "labels")
     while True:
         near = both.join(label, both.a == label.node).groupBy("b").agg(F.min("label").alias("near"))
         low = label.join(near, label.node == near.b, "left").select("node", "label", F.least("label", "near").alias("low"))
