@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,19 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cosmolake.operators.rounds import folder as shared_dir
+from cosmolake.operators.rounds import min_labels, stored
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is
-    set only where that is unset (tests, single machines).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = made.get().rsplit("/", 1)[0] if made.isDefined() else f"file://{tempfile.mkdtemp(prefix='cosmolake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+__all__ = ["ARROW_ROWS", "SPACE", "bounded", "components", "mix", "shared_dir", "slices", "span_hash", "stored", "text_bytes", "word_spans"]
 
 
 ARROW_ROWS = 2_000
@@ -36,14 +25,6 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array in one buffer and the n+1 offsets into it (nulls count as empty)."""
     col = col.cast(pa.large_string()).fill_null("")
@@ -130,22 +111,7 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node reachable, for every node on an edge.
-
-    Rounds of minimum labels with pointer jumping, each written to the shared
-    folder; the number of rounds follows the logarithm of a component's
-    diameter. Messages are pre-aggregated, so a hub's edges meet as partial
-    minima.
-    """
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = stored(e.union(e.select("y", "x")).where("x <> y").distinct(), "edges")
-    label = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("root")), "labels")
-    while True:
-        near = both.join(label, both.x == label.node).groupBy("y").agg(F.min("root").alias("near"))
-        low = label.join(near, label.node == near.y, "left").select("node", F.least("root", "near").alias("low"), "root")
-        top = low.select(F.col("node").alias("p"), F.col("low").alias("up"))
-        new = low.join(top, low.low == top.p, "left").select("node", F.least("low", F.coalesce("up", "low")).alias("root"), F.col("root").alias("was"))
-        new = stored(new, "labels")
-        label = new.select("node", "root")
-        if new.where("root <> was").isEmpty():
-            return label
+    """(node, root): the smallest node reachable, for every node on an edge."""
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    e = stored(e, "edges")
+    return min_labels(e.select(F.col("a").alias("node")).union(e.select("b")), e).withColumnRenamed("label", "root")
