@@ -118,11 +118,13 @@ def stars(reps: DataFrame) -> DataFrame:
     return member.join(leader, "bucket").where("node <> leader").select("leader", "node").distinct()
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(leader, node, size, common, lead, new): sizes, intersections and the node's prefix shingles that its leader lacks."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, node, size, common, lead, new): sizes, intersections and those of the node's prefix shingles that its leader lacks."""
     of_node = sets.select("node", "size", "shingles")
     of_leader = sets.select(F.col("node").alias("leader"), F.col("size").alias("lead"), F.col("shingles").alias("others"))
-    return pairs.join(of_node, "node").join(of_leader, "leader").withColumn("new", F.array_except("shingles", "others")).select("leader", "node", "size", (F.col("size") - F.size("new")).alias("common"), "lead", "new")
+    x = pairs.join(of_node, "node").join(of_leader, "leader").withColumn("new", F.array_except("shingles", "others"))
+    first = F.slice(F.sort_array("new"), F.lit(1), prefix(F.col("size"), percent).cast("int"))
+    return x.select("leader", "node", "size", (F.col("size") - F.size("new")).alias("common"), "lead", first.alias("new"))
 
 
 def prefix(size: Column, percent: int) -> Column:
@@ -132,14 +134,16 @@ def prefix(size: Column, percent: int) -> Column:
 def more_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """(x, y): pairs of different components that one leader's members may still link."""
     found = star.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.slice(F.sort_array("new"), F.lit(1), prefix(F.col("size"), percent).cast("int"))
-    token = found.select("leader", "node", "root", "size", F.posexplode(first).alias("pos", "t"))
-    mixed = stored(token.groupBy("leader", "t").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("leader", "t"), "mixed")
+    token = found.select("leader", "node", "root", "size", "common", F.posexplode("new").alias("pos", "t"))
+    # Shingles that the same members hold (one changed word makes five) stand for each other: the smallest is enough.
+    who = F.xxhash64("node")
+    held = token.groupBy("leader", "t").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n"), F.bit_xor(who).alias("h"), F.bit_xor(F.xxhash64(who)).alias("g")).where("p <> q")
+    mixed = stored(held.groupBy("leader", "n", "h", "g").agg(F.min("t").alias("t")).select("leader", "t"), "mixed")
     token = stored(token.join(mixed, ["leader", "t"]), "tokens")
     x, y = token.alias("x"), token.alias("y")
-    # At a pair's smallest common shingle, what follows in either set bounds the intersection.
-    rest = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    enough = (100 + percent) * rest >= percent * (F.col("x.size") + F.col("y.size"))
+    # At a pair's smallest common shingle: what both share with the leader, and what follows of the rest, bound the intersection.
+    rest = F.least(*(F.col(f"{k}.size") - F.col(f"{k}.common") - F.col(f"{k}.pos") for k in "xy"))
+    enough = (100 + percent) * (F.least("x.common", "y.common") + rest) >= percent * (F.col("x.size") + F.col("y.size"))
     shared = x.join(y, ["leader", "t"]).where((F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")) & enough).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
     reach = lambda common, a, b: (100 + percent) * F.col(common) >= percent * (F.col(a) + F.col(b))
@@ -172,7 +176,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     reps = stored(top.select("a", "b", F.col("r.doc_id").alias("node"), "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"), "reps")
     pairs = stored(stars(reps), "stars")
     sets = stored(shingle_sets(docs, key, text, stored(pairs.select("node").union(pairs.select("leader")).distinct(), "nodes")), "sets")
-    star = stored(compared(pairs, sets), "compared")
+    star = stored(compared(pairs, sets, percent), "compared")
     sketch = reps.select("node", *(f"s{k}" for k in range(4)))
     edge = star.where(linked(F.col("common"), F.col("size"), F.col("lead"), percent)).select("leader", "node")
     edge = edge.join(sketch.select("node", *(F.col(f"s{k}").alias(f"xs{k}") for k in range(4))), "node")
