@@ -5,7 +5,7 @@ pre-token is merged with a segment tree over its byte positions: a leaf holds
 the rank of the pair that starts at its live position, every inner node the
 leftmost least rank below it, and a merge updates the merged position, the
 swallowed one and the live neighbour on the left, each in O(log n).
-Pre-tokens are looked up in a bounded per-worker memo, so merging runs once
+Pre-tokens are looked up in a task's bounded memo, so merging runs once
 per distinct pre-token and not once per occurrence.
 
 Nulls count as empty texts and give no ids. Texts are whole, of any length.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 INF = 1 << 60
 FAN = 8  #: Children of a node of the segment tree.
 TOGETHER = 5000  #: Pieces whose trees stand side by side.
-MEMO = 800_000  #: Entries of the per-worker memo; the oldest half goes beyond that, which changes no result.
+MEMO = 800_000  #: Entries of a task's memo; the oldest half goes beyond that, which changes no result.
 
 
 @lru_cache(2)
@@ -257,12 +258,24 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield _list_array(_encoded(texts, path, pattern))
+        with _forgetting(path, pattern):
+            for texts in batches:
+                yield _list_array(_encoded(texts, path, pattern))
 
     return df.withColumn(out, run(F.col(text)))
 
 
+@contextmanager
+def _forgetting(path: str, pattern: str) -> Iterator[None]:
+    """Empty the memo when a task ends: its worker lives on and may serve other stages."""
+    try:
+        yield
+    finally:
+        memo = _memo(path, pattern)
+        memo.clear()
+        memo.old = {}
+
+
 def _encoded(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
     memo = _memo(path, pattern)
     cut = [chunks(t.as_py() or "") for t in texts]
@@ -301,10 +314,11 @@ def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str =
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         look = _table(path).__getitem__
-        for texts in batches:
-            parts = _encoded(texts, path, pattern)
-            raw = pa.array([b"".join(map(look, p.tolist())) for p in parts], pa.binary())
-            yield pa.StructArray.from_arrays([_list_array(parts), raw], ["ids", "decoded"])
+        with _forgetting(path, pattern):
+            for texts in batches:
+                parts = _encoded(texts, path, pattern)
+                raw = pa.array([b"".join(map(look, p.tolist())) for p in parts], pa.binary())
+                yield pa.StructArray.from_arrays([_list_array(parts), raw], ["ids", "decoded"])
 
     x = df.withColumn("_both", run(F.col(text)))
     return x.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
