@@ -10,9 +10,13 @@ is shorter, and if its slots are consistent: equal benchmark values stand for
 equal values of the document and the other way round. So "3 boxes at 3 kg"
 matches "7 boxes at 7 kg" and not "7 boxes at 9 kg".
 
-Windows with fewer than ``plain`` ordinary tokens say too little and are left
-out on the benchmark's side. Items shorter than a window are matched whole if
-they have ``plain`` ordinary tokens. Null texts have no tokens. Rows with the
+Every window of the benchmark counts, and coverage is that of all windows
+found at an offset. Windows without an ordinary token are hashed by their own
+words. An alignment needs ``plain`` ordinary tokens or equal words throughout;
+so do items shorter than a window, which are matched whole. An item's exact
+copy always matches, however short. The windows with ``plain`` ordinary tokens
+in the plain reading also count by themselves, whatever the others say.
+Null texts have no tokens. Rows with the
 same key and text share one result; any number of documents may hold an item.
 """
 
@@ -30,22 +34,23 @@ BROADCAST_ROWS = 500_000  #: Rows of benchmark windows or alignments that are br
 UNITS = "percent|kilograms?|kilometers?|kilometres?|centimeters?|centimetres?|millimeters?|meters?|metres?|grams?|liters?|litres?|pounds?|ounces?|miles?|inches|inch|feet|foot|yards?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|degrees?|kg|km|cm|mm|ml|mph|kph|lbs?|oz|ft|hrs?|mins?|secs?|usd|eur|g|m|l"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 NAME = r"(?<=[^.!?:\s]\s)\p{Lu}[\p{L}'’-]*"
+OPEN = NAME  #: A name in the benchmark's second reading.
 NOISE = r"[^\p{L}\p{M}\p{N}\s\x01\x02]+"
 BLANK = r"\s+"
 SLOT = "\x01"
 
 
-def template(text: Column) -> Column:
+def template(text: Column, name: str = NAME) -> Column:
     """Template tokens: slots are ``\\x01n``, ``\\x01u`` and ``\\x01p``."""
-    t = F.regexp_replace(text, NAME, SLOT + "p")
+    t = F.regexp_replace(text, name, SLOT + "p")
     t = F.regexp_replace(t, NUMBER, SLOT + "n")
     t = F.regexp_replace(t, rf"(?i)(?<=\x01n)([\s-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}\x01])", "$1" + SLOT + "u")
     return _tokens(t)
 
 
-def values(text: Column) -> Column:
+def values(text: Column, name: str = NAME) -> Column:
     """The same tokens with their own words after the slot's mark."""
-    t = F.regexp_replace(text, rf"({NAME})", SLOT + "p$1")
+    t = F.regexp_replace(text, rf"({name})", SLOT + "p$1")
     t = F.regexp_replace(t, rf"({NUMBER})", SLOT + "n$1" + "\x02")
     t = F.regexp_replace(t, rf"(?i)(?<=\x02)([\s-]?)({UNITS})(?![\p{{L}}\p{{N}}\x01])", "$1" + SLOT + "u$2")
     return _tokens(t)
@@ -55,19 +60,39 @@ def _tokens(t: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(t), NOISE, ""), BLANK), "")
 
 
-def _hashes(tokens: Column, width: int) -> Column:
-    n = F.size(tokens)
-    w = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(tokens, i, width)))
-    return F.when(n >= width, w).otherwise(F.array().cast("array<bigint>"))
+def _hashes(n: int, *tokens: Column) -> Column:
+    """Arrays of a window's hashes, one for each kind of tokens; null where a kind reads as the first."""
+
+    def window(i: Column) -> Column:
+        first, *more = (F.xxhash64(F.slice(t, i, n)) for t in tokens)
+        return F.array(first, *(F.nullif(h, first) for h in more))
+
+    size = F.size(tokens[0])
+    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), window)).otherwise(F.array().cast("array<array<bigint>>"))
+
+
+def _ordinary(tokens: Column) -> Column:
+    return F.size(F.filter(tokens, lambda w: ~F.contains(w, F.lit(SLOT))))
+
+
+def _readings(zipped: Column) -> Column:
+    """All readings of a window in which each word that may be a name is one or not."""
+    none = F.array(F.array().cast("array<string>"))
+    put = lambda some, w: F.transform(some, lambda x: F.concat(x, F.array(w)))
+    return F.aggregate(zipped, none, lambda some, t: F.when(t["a"] == t["b"], put(some, t["a"])).otherwise(F.concat(put(some, t["a"]), put(some, t["b"]))))
 
 
 def benchmark_windows(items: DataFrame, item: str, text: str, width: int, plain: int) -> DataFrame:
-    """(_item, _size, _width, _at, _w): hashed windows of the items; a short item is one window."""
-    x = items.where(F.col(text).isNotNull()).select(F.col(item).alias("_item"), template(F.col(text)).alias("_tokens"))
-    x = x.where(F.size("_tokens") > 0).select("_item", F.size("_tokens").alias("_size"), "_tokens", F.least(F.size("_tokens"), F.lit(width)).alias("_width"))
+    """(_item, _size, _width, _at, _w, _exact, _rich): hashed windows of the items, every one of them; a short item is one window."""
+    t = F.col(text)
+    x = items.where(t.isNotNull()).select(F.col(item).alias("_item"), template(t).alias("a"), template(t, OPEN).alias("b"), _tokens(t).alias("_words"))
+    x = x.where(F.size("a") > 0).select("_item", F.size("a").alias("_size"), F.arrays_zip("a", "b").alias("_zipped"), "_words", F.least(F.size("a"), F.lit(width)).alias("_width"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_size") - F.col("_width"))).alias("_at"))
-    x = x.withColumn("_slice", F.slice("_tokens", F.col("_at") + 1, F.col("_width")))
-    return x.where(F.size(F.filter("_slice", lambda w: ~F.contains(w, F.lit(SLOT)))) >= F.lit(plain)).select("_item", "_size", "_width", "_at", F.xxhash64("_slice").alias("_w"))
+    cut = lambda c: F.slice(c, F.col("_at") + 1, F.col("_width"))
+    x = x.select("_item", "_size", "_width", "_at", cut("_words").alias("_words"), F.posexplode(_readings(cut("_zipped"))).alias("_k", "_slice"))
+    x = x.withColumn("_n", _ordinary(F.col("_slice"))).withColumn("_exact", F.col("_n") < F.when(F.col("_width") < width, F.lit(plain)).otherwise(F.lit(1)))
+    w = F.when(F.col("_exact"), F.xxhash64("_words")).otherwise(F.xxhash64("_slice"))
+    return x.select("_item", "_size", "_width", "_at", w.alias("_w"), "_exact", ((F.col("_k") == 0) & (F.col("_n") >= plain)).alias("_rich"))
 
 
 def _sized(df: DataFrame, most: int) -> DataFrame:
@@ -76,41 +101,52 @@ def _sized(df: DataFrame, most: int) -> DataFrame:
 
 
 def alignments(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, width: int, run: int, plain: int) -> DataFrame:
-    """(_d, _t, _item, _offset, _first, _size): alignments that cover enough of an item, slots not yet checked."""
+    """(_d, _t, _item, _offset, _strict, _first, _len): alignments that cover enough of an item, slots not yet checked."""
     bench = stored(benchmark_windows(items, item, item_text, width, plain), "bench")
-    lengths = sorted(r["_width"] for r in bench.select("_width").distinct().collect())  # no more than ``width`` of them
-    x = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    x = x.select("_d", F.xxhash64("_text").alias("_t"), template(F.col("_text")).alias("_tokens"))
+    lengths = {r["_width"]: r["_e"] for r in bench.groupBy("_width").agg(F.max("_exact").alias("_e")).collect()}  # no more than ``width`` of them
+    t = F.col("_text")
+    x = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(t.isNotNull())
+    x = x.select("_d", F.xxhash64("_text").alias("_t"), template(t).alias("_a"), template(t, OPEN).alias("_b"), *([_tokens(t).alias("_words")] if any(lengths.values()) else []))
     found = None
-    for n in lengths:
+    for n in sorted(lengths):
         own = bench.where(F.col("_width") == n)
-        hits = x.select("_d", "_t", F.posexplode(_hashes(F.col("_tokens"), n)).alias("_pos", "_w")).join(_sized(own, BROADCAST_ROWS), "_w")
-        part = (
-            hits.groupBy("_d", "_t", "_item", "_size", (F.col("_pos") - F.col("_at")).alias("_offset"))
-            .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count_distinct("_at").alias("_n"))
-            .where((F.col("_n") + (n - 1) >= F.least(F.lit(run), F.col("_size"))) | (F.col("_n") + (n - 1) >= F.col("_size")))
-            .select("_d", "_t", "_item", "_offset", "_first", (F.col("_last") - F.col("_first") + n).alias("_len"))
-        )
+        kinds = [F.col(c) for c in ("_a", "_b", "_words")[: 2 + lengths[n]]]
+        hashed = x.select("_d", "_t", F.posexplode(_hashes(n, *kinds)).alias("_pos", "_ws")).select("_d", "_t", "_pos", F.posexplode("_ws").alias("_kind", "_w"))
+        hits = hashed.join(_sized(own, BROADCAST_ROWS), "_w")
+        at = lambda only: F.array_sort(F.collect_set(F.when(only, F.col("_at"))))
+        part = hits.groupBy("_d", "_t", "_item", "_size", (F.col("_pos") - F.col("_at")).alias("_offset")).agg(
+            at(F.lit(True)).alias("_all"), at(F.col("_rich") & (F.col("_kind") == 0)).alias("_own")
+        )
+        need = F.least(F.lit(run), F.col("_size"))
+        covered = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size("_all"), F.lit(2))), F.lit(n), lambda c, i: c + F.least(F.coalesce(F.get("_all", i - 1) - F.get("_all", i - 2), F.lit(0)), F.lit(n)))
+        span = lambda c, strict, enough: F.when(enough, F.struct(F.lit(strict).alias("_strict"), F.get(c, F.lit(0)).alias("_first"), (F.array_max(c) - F.get(c, F.lit(0)) + n).alias("_len")))
+        spans = F.array_compact(F.array(span("_own", True, F.size("_own") + (n - 1) >= need), span("_all", False, covered >= need)))
+        part = part.where((F.size("_own") > 0) | (covered >= need)).select("_d", "_t", "_item", "_offset", F.inline(spans))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = x.select("_d", "_t").withColumns({"_item": F.lit(None).cast("long"), "_offset": F.lit(0), "_first": F.lit(0), "_len": F.lit(0)}).limit(0)
+        found = x.select("_d", "_t").withColumns({"_item": F.lit(None).cast("long"), "_offset": F.lit(0), "_strict": F.lit(True), "_first": F.lit(0), "_len": F.lit(0)}).limit(0)
     return stored(found, "alignments")
 
 
+def _consistent(pairs: Column) -> Column:
+    return (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["q"])))) & (F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["d"]))))
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, run: int = RUN, plain: int = PLAIN) -> DataFrame:
     """(_d, _t, _item): documents that hold a benchmark item, with consistent slots."""
     found = alignments(docs, items, key, text, item, item_text, width, run, plain)
-    asked = items.select(F.col(item).alias("_item"), values(F.col(item_text)).alias("_asked"))
+    q = F.col(item_text)
+    asked = items.select(F.col(item).alias("_item"), values(q).alias("_asked"), values(q, OPEN).alias("_open"), _tokens(q).alias("_item_words"))
     told = docs.select(F.col(key).alias("_kd"), F.xxhash64(text).alias("_kt"), F.col(text).alias("_text")).where("_text is not null")
     x = told.join(_sized(found, BROADCAST_ROWS), F.col("_kd").eqNullSafe(F.col("_d")) & (F.col("_kt") == F.col("_t")))
-    x = x.withColumn("_told", F.slice(values(F.col("_text")), F.col("_first") + F.col("_offset") + 1, F.col("_len"))).drop("_text", "_kd", "_kt")
-    x = x.join(asked, "_item").withColumn("_asked", F.slice("_asked", F.col("_first") + 1, F.col("_len")))
-    slots = F.filter(F.arrays_zip(F.col("_asked").alias("q"), F.col("_told").alias("d")), lambda p: F.contains(p["q"], F.lit(SLOT)))
-    x = x.withColumn("_slots", F.array_distinct(slots))
-    return x.where(
-        (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda p: p["q"]))))
-        & (F.size("_slots") == F.size(F.array_distinct(F.transform("_slots", lambda p: p["d"]))))
-    ).select("_d", "_t", "_item").distinct()
+    here = lambda c: F.slice(c, F.col("_first") + F.col("_offset") + 1, F.col("_len"))
+    x = x.withColumns({"_told": F.when(F.col("_strict"), here(values(F.col("_text")))), "_words": here(_tokens(F.col("_text")))}).drop("_text", "_kd", "_kt")
+    x = x.join(asked, "_item").withColumns({c: F.slice(c, F.col("_first") + 1, F.col("_len")) for c in ("_asked", "_open", "_item_words")})
+    slots = lambda q, d: F.array_distinct(F.filter(F.arrays_zip(F.col(q).alias("q"), F.col(d).alias("d")), lambda p: F.contains(p["q"], F.lit(SLOT))))
+    typed = F.transform(slots("_open", "_words"), lambda p: F.struct(p["q"].alias("q"), F.concat(F.substring(p["q"], 1, 2), p["d"]).alias("d")))
+    x = x.withColumn("_slots", F.when(F.col("_strict"), slots("_asked", "_told")).otherwise(typed))
+    enough = F.col("_strict") | (_ordinary(F.col("_open")) >= plain) | (F.col("_item_words") == F.col("_words"))
+    return x.where(enough & _consistent(F.col("_slots"))).select("_d", "_t", "_item").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, run: int = RUN, plain: int = PLAIN) -> DataFrame:

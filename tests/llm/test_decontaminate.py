@@ -40,3 +40,14 @@ def test_edge_cases(spark):
     assert got == sorted([(1, []), (2, []), (3, [7, 8]), (3, [7, 8]), (None, [7, 8]), (4, []), (5, [7, 8])], key=repr)
     assert d.decontaminate(docs, bench.limit(0)).where("size(items) > 0").count() == 0
     assert d.decontaminate(docs.limit(0), bench).count() == 0
+
+
+DENSE = ["If 3 kg cost 5 dollars and 7 kg cost 12 dollars, how much do 9 kg cost?", "A train travels 60 km in 2 hours and 90 km in 3 hours. How far in 5 hours?", "What is 12 plus 30 minus 7?", "12 45 67 3 8 99 20 31 7 54"]
+
+
+def test_exact_copies_of_items_rich_in_slots(spark):
+    items = [*enumerate(DENSE)]
+    got = held(spark, [*DENSE, *(f"As they say so {t} And more." for t in DENSE), "What is 13 plus 31 minus 8?", DENSE[0].replace("12", "14").replace("3", "4"), "13 46 68 4 9 98 21 32 8 55"], items)
+    for k in range(len(DENSE)):
+        assert got[k] == [k] and got[len(DENSE) + k] == [k]
+    assert got[8] == [] and got[9] == [0] and got[10] == []
