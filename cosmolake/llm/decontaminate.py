@@ -10,6 +10,10 @@ is shorter, and if its slots are consistent: equal benchmark values stand for
 equal values of the document and the other way round. So "3 boxes at 3 kg"
 matches "7 boxes at 7 kg" and not "7 boxes at 9 kg".
 
+A capitalised word that opens a sentence may be a name or not. Documents are
+hashed with all such words as names and with none, the benchmark's windows
+under every reading.
+
 Every window of the benchmark counts, and coverage is that of all windows
 found at an offset. Windows without an ordinary token are hashed by their own
 words. An alignment needs ``plain`` ordinary tokens or equal words throughout;
@@ -34,18 +38,27 @@ BROADCAST_ROWS = 500_000  #: Rows of benchmark windows or alignments that are br
 UNITS = "percent|kilograms?|kilometers?|kilometres?|centimeters?|centimetres?|millimeters?|meters?|metres?|grams?|liters?|litres?|pounds?|ounces?|miles?|inches|inch|feet|foot|yards?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|degrees?|kg|km|cm|mm|ml|mph|kph|lbs?|oz|ft|hrs?|mins?|secs?|usd|eur|g|m|l"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 NAME = r"(?<=[^.!?:\s]\s)\p{Lu}[\p{L}'’-]*"
-OPEN = NAME  #: A name in the benchmark's second reading.
+OPEN = r"\p{Lu}(?<![\p{L}\p{M}\p{N}'’-]\p{Lu})[\p{L}'’-]*"  #: A name wherever it stands, at the start of a sentence too.
 NOISE = r"[^\p{L}\p{M}\p{N}\s\x01\x02]+"
 BLANK = r"\s+"
 SLOT = "\x01"
 
 
-def template(text: Column, name: str = NAME) -> Column:
+def template(text: Column) -> Column:
     """Template tokens: slots are ``\\x01n``, ``\\x01u`` and ``\\x01p``."""
-    t = F.regexp_replace(text, name, SLOT + "p")
+    return _tokens(_marked(text))
+
+
+def _marked(text: Column) -> Column:
+    t = F.regexp_replace(text, NAME, SLOT + "p")
     t = F.regexp_replace(t, NUMBER, SLOT + "n")
-    t = F.regexp_replace(t, rf"(?i)(?<=\x01n)([\s-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}\x01])", "$1" + SLOT + "u")
-    return _tokens(t)
+    return F.regexp_replace(t, rf"(?i)(?<=\x01n)([\s-]?)(?:{UNITS})(?![\p{{L}}\p{{N}}\x01])", "$1" + SLOT + "u")
+
+
+def _templated(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with template tokens ``_a``, and ``_b`` in which words that open a sentence are names too, instead of ``text``."""
+    x = df.withColumn("_marked", _marked(F.col(text)))
+    return x.withColumns({"_a": _tokens(F.col("_marked")), "_b": _tokens(F.regexp_replace("_marked", OPEN, SLOT + "p"))}).drop("_marked", text)
 
 
 def values(text: Column, name: str = NAME) -> Column:
@@ -60,15 +73,15 @@ def _tokens(t: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(t), NOISE, ""), BLANK), "")
 
 
-def _hashes(n: int, *tokens: Column) -> Column:
-    """Arrays of a window's hashes, one for each kind of tokens; null where a kind reads as the first."""
+def _word_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
 
-    def window(i: Column) -> Column:
-        first, *more = (F.xxhash64(F.slice(t, i, n)) for t in tokens)
-        return F.array(first, *(F.nullif(h, first) for h in more))
 
-    size = F.size(tokens[0])
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), window)).otherwise(F.array().cast("array<array<bigint>>"))
+def _hashes(hashed: Column, width: int) -> Column:
+    """Window hashes of tokens that are hashed already."""
+    n = F.size(hashed)
+    w = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(hashed, i, width)))
+    return F.when(n >= width, w).otherwise(F.array().cast("array<bigint>"))
 
 
 def _ordinary(tokens: Column) -> Column:
@@ -84,14 +97,14 @@ def _readings(zipped: Column) -> Column:
 
 def benchmark_windows(items: DataFrame, item: str, text: str, width: int, plain: int) -> DataFrame:
     """(_item, _size, _width, _at, _w, _exact, _rich): hashed windows of the items, every one of them; a short item is one window."""
-    t = F.col(text)
-    x = items.where(t.isNotNull()).select(F.col(item).alias("_item"), template(t).alias("a"), template(t, OPEN).alias("b"), _tokens(t).alias("_words"))
-    x = x.where(F.size("a") > 0).select("_item", F.size("a").alias("_size"), F.arrays_zip("a", "b").alias("_zipped"), "_words", F.least(F.size("a"), F.lit(width)).alias("_width"))
+    x = items.where(F.col(text).isNotNull()).select(F.col(item).alias("_item"), F.col(text).alias("_text"), _tokens(F.col(text)).alias("_words"))
+    x = _templated(x, "_text").where(F.size("_a") > 0)
+    x = x.select("_item", F.size("_a").alias("_size"), F.arrays_zip(F.col("_a").alias("a"), F.col("_b").alias("b")).alias("_zipped"), "_words", F.least(F.size("_a"), F.lit(width)).alias("_width"))
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.col("_size") - F.col("_width"))).alias("_at"))
     cut = lambda c: F.slice(c, F.col("_at") + 1, F.col("_width"))
     x = x.select("_item", "_size", "_width", "_at", cut("_words").alias("_words"), F.posexplode(_readings(cut("_zipped"))).alias("_k", "_slice"))
     x = x.withColumn("_n", _ordinary(F.col("_slice"))).withColumn("_exact", F.col("_n") < F.when(F.col("_width") < width, F.lit(plain)).otherwise(F.lit(1)))
-    w = F.when(F.col("_exact"), F.xxhash64("_words")).otherwise(F.xxhash64("_slice"))
+    w = F.xxhash64(_word_hashes(F.when(F.col("_exact"), F.col("_words")).otherwise(F.col("_slice"))))
     return x.select("_item", "_size", "_width", "_at", w.alias("_w"), "_exact", ((F.col("_k") == 0) & (F.col("_n") >= plain)).alias("_rich"))
 
 
@@ -104,18 +117,20 @@ def alignments(docs: DataFrame, items: DataFrame, key: str, text: str, item: str
     """(_d, _t, _item, _offset, _strict, _first, _len): alignments that cover enough of an item, slots not yet checked."""
     bench = stored(benchmark_windows(items, item, item_text, width, plain), "bench")
     lengths = {r["_width"]: r["_e"] for r in bench.groupBy("_width").agg(F.max("_exact").alias("_e")).collect()}  # no more than ``width`` of them
-    t = F.col("_text")
-    x = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(t.isNotNull())
-    x = x.select("_d", F.xxhash64("_text").alias("_t"), template(t).alias("_a"), template(t, OPEN).alias("_b"), *([_tokens(t).alias("_words")] if any(lengths.values()) else []))
+    kinds = ["_a", "_b"] + ["_words"] * any(lengths.values())
+    x = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_t", F.xxhash64("_text"))
+    x = _templated(x.withColumn("_words", _tokens(F.col("_text"))), "_text")
+    x = x.select("_d", "_t", F.size("_a").alias("_length"), *(_word_hashes(F.col(c)).alias(c) for c in kinds))
     found = None
     for n in sorted(lengths):
         own = bench.where(F.col("_width") == n)
-        kinds = [F.col(c) for c in ("_a", "_b", "_words")[: 2 + lengths[n]]]
-        hashed = x.select("_d", "_t", F.posexplode(_hashes(n, *kinds)).alias("_pos", "_ws")).select("_d", "_t", "_pos", F.posexplode("_ws").alias("_kind", "_w"))
+        windows = F.concat(*(_hashes(F.col(c), n) for c in kinds[: 2 + lengths[n]]))  # those of one kind after those of another
+        hashed = x.select("_d", "_t", (F.col("_length") - (n - 1)).alias("_each"), F.posexplode(windows).alias("_k", "_w"))
+        hashed = hashed.select("_d", "_t", (F.col("_k") % F.col("_each")).alias("_pos"), (F.col("_k") < F.col("_each")).alias("_plain"), "_w")
         hits = hashed.join(_sized(own, BROADCAST_ROWS), "_w")
         at = lambda only: F.array_sort(F.collect_set(F.when(only, F.col("_at"))))
         part = hits.groupBy("_d", "_t", "_item", "_size", (F.col("_pos") - F.col("_at")).alias("_offset")).agg(
-            at(F.lit(True)).alias("_all"), at(F.col("_rich") & (F.col("_kind") == 0)).alias("_own")
+            at(F.lit(True)).alias("_all"), at(F.col("_rich") & F.col("_plain")).alias("_own")
         )
         need = F.least(F.lit(run), F.col("_size"))
         covered = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size("_all"), F.lit(2))), F.lit(n), lambda c, i: c + F.least(F.coalesce(F.get("_all", i - 1) - F.get("_all", i - 2), F.lit(0)), F.lit(n)))

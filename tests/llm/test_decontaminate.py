@@ -51,3 +51,13 @@ def test_exact_copies_of_items_rich_in_slots(spark):
     for k in range(len(DENSE)):
         assert got[k] == [k] and got[len(DENSE) + k] == [k]
     assert got[8] == [] and got[9] == [0] and got[10] == []
+
+
+NAMES = ["Alice has 3 red apples and buys 4 more, how many in all?", "Alice has 3 apples. Alice buys 4 more apples. How many apples does she have now?"]
+
+
+def test_names_that_open_a_sentence(spark):
+    changed = [t.replace("Alice", "Tom").replace("3", "5").replace("4", "6") for t in NAMES]
+    mixed = NAMES[1].replace("Alice buys", "Carol buys")
+    got = held(spark, [*changed, f"First. {changed[0]}", f"so {changed[1]}", changed[1].replace(". How", ", how"), mixed], [*enumerate(NAMES)])
+    assert [got[k] for k in range(6)] == [[0], [1], [0], [1], [1], []]
