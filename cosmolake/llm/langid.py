@@ -12,8 +12,8 @@ what it gives the nearest other one, and the prediction marked as rejected
 above that.
 
 Words are runs of letters, lower-cased. Null texts and texts without a letter
-have no prediction. ``MAX_GRAMS`` bounds the model by a count threshold found
-from a histogram; it doesn't bound the texts that are counted.
+have no prediction. The model is made of all counted grams of every language,
+rare ones too; ``max_grams`` of :func:`train` is off unless a caller sets it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from cosmolake.llm._shared import mix, stored
 
 ORDER = 4
-MAX_GRAMS = 600_000  #: Bound of the model: grams of the highest order, over all languages.
 FLUSH = 200_000  #: Distinct words that a counting task holds.
 MEMO = 300_000  #: Words whose scores a worker keeps; it starts afresh beyond that, which changes no result.
 SHARPNESS = 12.0
@@ -151,17 +150,19 @@ def fit(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
     return model
 
 
-def train(df: DataFrame, text: str, lang: str, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """Count all labelled rows in Spark and fit; no more than ``max_grams`` rows reach the driver."""
+def train(df: DataFrame, text: str, lang: str, order: int = ORDER, max_grams: int | None = None) -> Model:
+    """Count all labelled rows in Spark and fit on every gram; with ``max_grams``, no more than so many rows, the most frequent, reach the driver."""
     counts = stored(count(df, text, lang, order), "grams")
-    hist = {r["b"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
-    left, least = 0, 1
-    for b in sorted(hist, reverse=True):
-        left += hist[b]
-        if left > max_grams:
-            least = 1 << (b + 1)
-            break
-    rows = counts.where(F.col("n") >= least).orderBy("lang", "gram").toArrow()
+    if max_grams is not None:
+        hist = {r["b"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
+        left, least = 0, 1
+        for b in sorted(hist, reverse=True):
+            left += hist[b]
+            if left > max_grams:
+                least = 1 << (b + 1)
+                break
+        counts = counts.where(F.col("n") >= least)
+    rows = counts.orderBy("lang", "gram").toArrow()
     return fit(list(zip(*(rows[c].to_pylist() for c in ("lang", "gram", "n")), strict=True)), order)
 
 

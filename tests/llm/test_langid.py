@@ -87,3 +87,12 @@ def test_small_memo_and_bound(spark, monkeypatch):
     assert np.allclose(s.text(text), langid._Scorer(langid.fit(rows)).text(text))
     docs = spark.createDataFrame(_texts(), "doc_id long, text string, lang string")
     assert sum(len(x) for x in langid.train(docs, "text", "lang", max_grams=20).grams[3:]) <= 20
+
+
+def test_every_counted_gram_reaches_the_model(spark):
+    rare = "zyx wvu tsr"
+    many = spark.range(900_000).selectExpr("concat(char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id div 676 % 26), char(97 + id div 17576 % 26), ' ', char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id div 676 % 26), char(97 + id div 17576 % 26)) as text", "concat('l', id div 456976) as lang")
+    df = many.unionByName(spark.createDataFrame([(rare, "rare")], "text string, lang string"))
+    model = langid.train(df, "text", "lang")
+    want = langid.count(df, "text", "lang").select("gram").distinct().count()
+    assert want > 456_976 and len(model.grams[3]) == want and "rare" in model.langs
