@@ -5,8 +5,9 @@ hold directly or in paragraphs, less what links and lists hold, and each
 container is named by a generalised path of tags and classes (digits folded,
 classes sorted). Vote: Spark sums the scores of every path over a host's
 pages and keeps the path with the largest sum. Second pass: every page is
-extracted again from the elements on its host's winning path; a page without
-them falls back on its own best container.
+extracted again from the elements on its host's winning path, widened to the
+nearest article or main around them; a page without them falls back on its own
+best container, widened likewise.
 
 Scanning is one linear pass over tags. Scripts, styles, comments and markup
 go; so do menus, headers, footers, asides, adverts, notices, forms and reader
@@ -229,13 +230,21 @@ def _under(e: Element | None, chosen: set[int]) -> bool:
     return found
 
 
+def _lifted(e: Element) -> Element:
+    """The nearest article or main around an element, itself included; without one, the element."""
+    up: Element | None = e
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.up
+    return up or e
+
+
 def extract(page: str, path: str | None) -> str:
-    """Main text under the elements on ``path``, or under the page's own best container if there are none."""
+    """Main text of the articles around the elements on ``path``, or around the page's own best container if there are none."""
     blocks, containers = scan(page)
-    chosen = {id(c) for c in containers if c.path == path and not c.inside}
+    chosen = {id(_lifted(c)) for c in containers if c.path == path and not c.inside}
     if not chosen:
         best = score(blocks, containers)
-        chosen = {id(best[0])} if best else None
+        chosen = {id(_lifted(best[0]))} if best else None
     out = []
     for b in blocks:
         if b.owner.inside:

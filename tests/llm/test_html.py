@@ -47,3 +47,11 @@ def test_host_consensus_and_edge_cases(spark):
 
 def test_empty_table(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_all_of_an_article_made_of_sections():
+    long = "word " * 60
+    page = f"<body><nav>Menu</nav><article><h1>Title</h1><p>Intro</p><section><p>{long}</p></section><section class=b><p>{long}</p></section><div class=body><p>End</p></div></article><div class=x>Other</div></body>"
+    path = html_text.paths(page)[0][0]
+    want = "\n".join(["Title", "Intro", long.strip(), long.strip(), "End"])
+    assert html_text.extract(page, path) == html_text.extract(page, "/body/article/section") == html_text.extract(page, None) == want
