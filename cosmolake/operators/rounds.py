@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 400_000
+SALTS = 32
+
 
 def folder(spark: SparkSession, what: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
@@ -25,6 +28,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(low: DataFrame, jump: DataFrame) -> DataFrame:
+    """``low`` with ``up`` of its label from ``jump`` (l, up): broadcast if small, else each label's nodes are dealt over ``SALTS`` keys."""
+    jump = stored(jump, "jumps")
+    if jump.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return low.join(F.broadcast(jump), F.col("low") == F.col("l"), "left")
+    many = jump.withColumn("js", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return low.withColumn("ls", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(many, (F.col("low") == F.col("l")) & (F.col("ls") == F.col("js")), "left")
+
+
 def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over undirected edges (a, b); isolated nodes label themselves.
 
@@ -38,8 +50,11 @@ def min_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label, both.a == label.node).groupBy("b").agg(F.min("label").alias("near"))
         low = label.join(near, label.node == near.b, "left").select("node", "label", F.least("label", "near").alias("low"))
+        low = stored(low, "labels")
         top = low.select(F.col("node").alias("p"), F.col("low").alias("up"))
-        new = stored(low.join(top, low.low == top.p, "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), F.col("label").alias("was")), "labels")
+        # One row a label looks up where it points now; only where that moved do the label's nodes follow.
+        jump = low.select("low").distinct().join(top, F.col("low") == F.col("p")).where("up < low").select(F.col("low").alias("l"), "up")
+        new = stored(spread(low, jump).select("node", F.coalesce("up", "low").alias("label"), F.col("label").alias("was")), "labels")
         label = new.select("node", "label")
         if new.where("label <> was").isEmpty():
             return label
