@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cosmolake.operators.rounds import folder as shared_dir
 from cosmolake.operators.rounds import min_labels, stored
 
-__all__ = ["ARROW_ROWS", "SPACE", "bounded", "components", "mix", "shared_dir", "slices", "span_hash", "stored", "text_bytes", "word_spans"]
+__all__ = ["ARROW_ROWS", "SPACE", "bounded", "components", "fresh", "mix", "shared_dir", "slices", "span_hash", "stored", "text_bytes", "word_spans"]
 
 
 ARROW_ROWS = 2_000
@@ -25,6 +25,19 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` lacks, whatever the case of its own names."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array in one buffer and the n+1 offsets into it (nulls count as empty)."""
     col = col.cast(pa.large_string()).fill_null("")

@@ -10,12 +10,11 @@ No bucket is expanded into pairs. Each bucket has one leader, the member whose
 buckets are the fullest (the one most like all others); every member is
 compared with it, which connects a group of copies through its centre. What
 that may miss are links between members of different components, and those
-are found exactly. Order the shingles of a leader's members with those that
-the leader lacks first. A link's smallest common shingle lies in both
-members' prefixes (as many shingles as a partner may lack, and one). If the
-leader lacks it, a join on such prefix shingles finds the pair; if not, the
-two share only shingles of the leader, so both overlaps with it must reach
-the least intersection that a link needs, and a join on these bounds finds it.
+are found exactly. Buckets whose members are one component are done. The
+shingles of all other members are counted and put in one order, rarest first;
+a link's rarest common shingle lies in both members' prefixes (as many
+shingles as a partner may lack, and one). Copies of one text differ from its
+other copies by rare shingles, so few of a large group meet at one.
 
 Components are smallest reachable doc_ids, from rounds of minimum labels.
 
@@ -36,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosmolake.llm import shingles
-from cosmolake.llm._shared import components, stored
+from cosmolake.llm._shared import components, fresh, stored
 
 PERCENT = 80
 BROADCAST_ROWS = 400_000  #: Node lists are broadcast up to so many rows, joined by a shuffle beyond.
@@ -69,7 +68,7 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
-    """(node, size, shingles): the sets of the rows whose doc_id is in ``nodes``."""
+    """(node, size, set, shingles): the sets of the rows whose doc_id is in ``nodes``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +79,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> Data
 
     rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(sized(nodes), "node", "left_semi")
     sets = rows.mapInArrow(task, "node long, shingles array<long>").where(F.size("shingles") > 0)
-    return sets.withColumn("size", F.size("shingles"))
+    return sets.withColumn("size", F.size("shingles")).withColumn("set", F.xxhash64("shingles"))
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -118,45 +117,10 @@ def stars(reps: DataFrame) -> DataFrame:
     return member.join(leader, "bucket").where("node <> leader").select("leader", "node").distinct()
 
 
-def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, node, size, common, lead, new): sizes, intersections and those of the node's prefix shingles that its leader lacks."""
-    of_node = sets.select("node", "size", "shingles")
-    of_leader = sets.select(F.col("node").alias("leader"), F.col("size").alias("lead"), F.col("shingles").alias("others"))
-    x = pairs.join(of_node, "node").join(of_leader, "leader").withColumn("new", F.array_except("shingles", "others"))
-    first = F.slice(F.sort_array("new"), F.lit(1), prefix(F.col("size"), percent).cast("int"))
-    return x.select("leader", "node", "size", (F.col("size") - F.size("new")).alias("common"), "lead", first.alias("new"))
-
-
 def prefix(size: Column, percent: int) -> Column:
     return size - F.ceil(percent * size / 100) + 1
 
 
-def more_pairs(star: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(x, y): pairs of different components that one leader's members may still link."""
-    found = star.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    token = found.select("leader", "node", "root", "size", "common", F.posexplode("new").alias("pos", "t"))
-    # Shingles that the same members hold (one changed word makes five) stand for each other: the smallest is enough.
-    who = F.xxhash64("node")
-    held = token.groupBy("leader", "t").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n"), F.bit_xor(who).alias("h"), F.bit_xor(F.xxhash64(who)).alias("g")).where("p <> q")
-    mixed = stored(held.groupBy("leader", "n", "h", "g").agg(F.min("t").alias("t")).select("leader", "t"), "mixed")
-    token = stored(token.join(mixed, ["leader", "t"]), "tokens")
-    x, y = token.alias("x"), token.alias("y")
-    # At a pair's smallest common shingle: what both share with the leader, and what follows of the rest, bound the intersection.
-    rest = F.least(*(F.col(f"{k}.size") - F.col(f"{k}.common") - F.col(f"{k}.pos") for k in "xy"))
-    enough = (100 + percent) * (F.least("x.common", "y.common") + rest) >= percent * (F.col("x.size") + F.col("y.size"))
-    shared = x.join(y, ["leader", "t"]).where((F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")) & enough).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
-
-    reach = lambda common, a, b: (100 + percent) * F.col(common) >= percent * (F.col(a) + F.col(b))
-    least = stored(found.groupBy("leader").agg(F.least(F.min("size"), F.min("lead")).alias("least")), "least")
-    near = found.join(least, "leader").where(reach("common", "size", "least"))
-    near = stored(near.select("leader", "node", "root", "size", "common"), "near")
-    own = label.select(F.col("node").alias("leader"), F.col("root").alias("home"))
-    out = near.join(own, "leader", "left").where(F.col("root") != F.coalesce("home", "leader")).select("leader", *(F.col(c).alias(f"o_{c}") for c in ("node", "root", "size", "common")))
-    bound = near.join(stored(out, "outer"), "leader").where((F.col("root") != F.col("o_root")) & reach("common", "size", "o_size") & reach("o_common", "size", "o_size"))
-    bound = bound.select(F.least("node", "o_node").alias("x"), F.greatest("node", "o_node").alias("y"))
-    return shared.union(bound).distinct()
-
-
 def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs (x, y) that the sketches let through and the full sets confirm."""
     sketch = reps.select("node", "s0", "s1", "s2", "s3")
@@ -164,31 +128,75 @@ def confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
     likely = pairs.join(one, "x").join(two, "y").where(sketch_distance("x", "y") <= least_odd(percent)).select("x", "y")
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("xs"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("ys"))
-    both = likely.join(left, "x").join(right, "y")
+    both = likely.join(right, "y").join(left, "x")
     return both.where(linked(F.size(F.array_intersect("xs", "ys")), F.size("xs"), F.size("ys"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def undecided(star: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, root): leaders and members of buckets whose members are not all of one component yet."""
+    own = label.select(F.col("node").alias("leader"), F.col("root").alias("home"))
+    rooted = stored(star.join(label, "node", "left").select("leader", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    held = rooted.groupBy("leader").agg(F.min("root").alias("p"), F.max("root").alias("q")).join(own, "leader", "left")
+    mixed = held.select("leader", F.coalesce("home", "leader").alias("home"), "p", "q").where("p <> q or p <> home").select("leader", "home")
+    mixed = stored(mixed, "mixed")
+    members = rooted.join(sized(mixed), "leader").select("node", "root")
+    return members.union(mixed.select("leader", "home")).distinct()
+
+
+def rare_first(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(t, node, root, size, rest): each node's prefix shingles that another component holds too, in the order rarest first.
+
+    Shingles of one component only come first in that order and need no row.
+    ``rest`` is how many of the node's shingles stand at or after this one.
+    """
+    token = sets.join(nodes, "node").select("node", "set", "root", "size", F.explode("shingles").alias("t"))
+    held = token.groupBy("t").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q")
+    shared = token.join(stored(held.select("t", "n"), "held"), "t")
+    mine = shared.groupBy("node", "set").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.sort_array(F.collect_set(F.struct("n", "t"))).alias("ts"))
+    mine = mine.withColumn("own", F.col("size") - F.size("ts"))
+    mine = mine.withColumn("ts", F.slice("ts", F.lit(1), F.greatest(F.lit(0), prefix(F.col("size"), percent) - F.col("own")).cast("int")))
+    return mine.select("node", "root", "size", "own", F.posexplode("ts").alias("k", "e")).select("e.t", "node", "root", "size", (F.col("size") - F.col("own") - F.col("k")).alias("rest"))
+
+
+def reach(common: Column, x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of these sizes with at most ``common`` shingles in common can be linked."""
+    return (100 + percent) * common >= percent * (x + y)
+
+
+def more_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of different components that may still be linked.
+
+    A link's rarest common shingle stands in both prefixes, and what stands
+    from there on bounds the intersection. Rows that no other component of
+    their shingle can reach go before any rows meet.
+    """
+    token = stored(rare_first(nodes, sets, percent), "tokens")
+    for _ in range(2):
+        group = token.groupBy("t").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.min("size").alias("least")).where("p <> q")
+        able = token.join(sized(stored(group, "groups")), "t").where(reach(F.col("rest"), F.col("size"), F.greatest(F.col("least"), F.ceil(percent * F.col("size") / 100)), percent))
+        token = stored(able.select(token.columns), "tokens")
+    x, y = token.alias("x"), token.alias("y")
+    enough = reach(F.least("x.rest", "y.rest"), F.col("x.size"), F.col("y.size"), percent)
+    return x.join(y, "t").where((F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")) & enough).select(F.col("x.node").alias("x"), F.col("y.node").alias("y")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, a, b, component_id) of every row."""
     every = stored(profiles(docs, key, text), "profiles")
     some = every.where("n_shingles > 0 and doc_id is not null")
     top = some.groupBy("a", "b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "s0", "s1", "s2", "s3")).alias("r"))
     reps = stored(top.select("a", "b", F.col("r.doc_id").alias("node"), "r.bands", "r.s0", "r.s1", "r.s2", "r.s3"), "reps")
-    pairs = stored(stars(reps), "stars")
-    sets = stored(shingle_sets(docs, key, text, stored(pairs.select("node").union(pairs.select("leader")).distinct(), "nodes")), "sets")
-    star = stored(compared(pairs, sets, percent), "compared")
-    sketch = reps.select("node", *(f"s{k}" for k in range(4)))
-    edge = star.where(linked(F.col("common"), F.col("size"), F.col("lead"), percent)).select("leader", "node")
-    edge = edge.join(sketch.select("node", *(F.col(f"s{k}").alias(f"xs{k}") for k in range(4))), "node")
-    edge = edge.join(sketch.select(F.col("node").alias("leader"), *(F.col(f"s{k}").alias(f"ys{k}") for k in range(4))), "leader")
-    edge = stored(edge.where(sketch_distance("x", "y") <= least_odd(percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")), "links")
+    star = stored(stars(reps), "stars")
+    sets = stored(shingle_sets(docs, key, text, stored(star.select("node").union(star.select("leader")).distinct(), "nodes")), "sets")
+    edge = stored(confirmed(star.select(F.col("leader").alias("x"), F.col("node").alias("y")), reps, sets, percent), "links")
     # Texts of one doc_id are one node.
     twice = some.groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("p"), F.max(F.struct("a", "b")).alias("q")).where("p <> q").select("doc_id")
     same = some.select("doc_id", "a", "b").join(stored(twice, "twice"), "doc_id", "left_semi").join(reps.select("a", "b", "node"), ["a", "b"])
     same = stored(same.select("doc_id", "node").distinct(), "same")
     same = stored(same.join(same.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "same")
     label = components(edge)
-    more = stored(confirmed(stored(more_pairs(star, label, percent), "pairs"), reps, sets, percent), "links")
+    open_ = stored(undecided(star, label), "undecided")
+    more = stored(confirmed(stored(more_pairs(open_, sets, percent), "pairs"), reps, sets, percent), "links")
     if not more.isEmpty() or not same.isEmpty():
         label = components(edge.union(more).union(same))
     rooted = reps.select("a", "b", "node").join(label, "node", "left").select("a", "b", F.coalesce("root", "node").alias("root"))
@@ -198,6 +206,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
 def kept_docs(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: the row whose doc_id is the group's id. Rows without words stay."""
-    gone = groups(docs, key, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    (name,) = fresh(docs, "gone")
+    gone = groups(docs, key, text, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     gone = sized(stored(gone, "gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")
