@@ -76,3 +76,59 @@ def test_query_edge_cases(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert op3_skip_chain.digests(docs, pii.train(docs)).count() == 0
+
+
+def test_marginals_equal_enumeration():
+    """Exact on a tree; close on graphs with loops."""
+    import itertools
+
+    r = np.random.default_rng(2)
+    for es, tolerance in (([(0, 1, False), (1, 2, True), (1, 3, False)], 1e-4), ([(0, 1, False), (1, 2, False), (0, 2, True)], 0.08), ([(0, 1, False), (1, 2, False), (2, 3, True), (0, 3, True)], 0.08)):
+        n = max(max(e[:2]) for e in es) + 1
+        pair = r.normal(size=(2, 5, 5)) * 0.5
+        model = pii.Model(r.normal(size=(pii.N_NODE, 5)) * 0.3, pair[0] + pair[0].T, pair[1] + pair[1].T)
+        x, y = r.random((n, pii.N_NODE)), np.array([2] + [0] * (n - 1))
+        want = np.zeros((n, 5))
+        for labels in itertools.product(range(5), repeat=n):
+            if labels[0] == 2:
+                score = sum((x[k] @ model.nodes)[labels[k]] for k in range(1, n)) + sum((model.skip if s else model.chain)[labels[i], labels[j]] for i, j, s in es)
+                for k in range(n):
+                    want[k, labels[k]] += np.exp(score)
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.Field([(x, y, y, es)]).run(model, np.where(y > 0, y, -1), passes=60)[0]
+        assert np.abs(got - want).max() < tolerance
+
+
+def test_linked_look_alikes_in_training_do_not_unteach():
+    r = random.Random(5)
+
+    def phone():
+        a, b, c = r.randint(200, 999), r.randint(200, 999), r.randint(1000, 9999)
+        return f"+1 ({a}) {b}-{c}", f"{a}-{b}-{c}"
+
+    def mail():
+        name = f"{r.choice(['anna', 'robert', 'sabine'])}{r.randint(10, 999)}"
+        return f"{name}@mail.org", f"{name} at mail dot org"
+
+    plain = [f"call {phone()[0]} or write {mail()[0]} or order {r.randint(10**8, 10**9)} now" for _ in range(60)]
+    plain += [f"ids {r.randint(10**7, 10**10)} ship {r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}" for _ in range(20)]
+    for linked in (0, 10, 100):
+        texts = list(plain)
+        for _ in range(linked):
+            p, m = phone(), mail()
+            texts.append(f"first {p[0]} then {m[0]} later {p[1]} again {m[1]} end")
+        model = pii.fit([pii.example(pii.mentions(t, pii.base_spans(t))) for t in texts])
+        hit = wrong = 0
+        for _ in range(50):
+            p, m, other = phone(), mail(), phone()[1]
+            text = f"first {p[0]} then {m[0]} later {p[1]} again {m[1]} order {other} end"
+            got = {text[s:e] for s, e, _ in pii.added_spans(model, pii.mentions(text, pii.base_spans(text)))}
+            hit += len(got & {p[1], m[1]})
+            wrong += len(got - {p[1], m[1]})
+        assert hit >= 95 and wrong == 0
+
+
+def test_training_bounds(spark):
+    docs = spark.createDataFrame([(k, f"call +1 415 555 {k:04d} and a{k}@b.org") for k in range(30)] + [(99, "+1 415 555 1234 " * 2_000)], "doc_id long, text string")
+    assert np.isfinite(pii.train(docs, max_mentions=100).nodes).all()
+    assert np.isfinite(pii.train(docs, max_docs=3, max_mentions=1).skip).all()
