@@ -3,15 +3,19 @@
 First pass: each page's container elements are scored by the text that they
 hold directly or in paragraphs, less what links and lists hold, and each
 container is named by a generalised path of tags and classes (digits folded,
-classes sorted). Vote: Spark sums the scores of every path over a host's
-pages and keeps the path with the largest sum. Second pass: every page is
+classes sorted; long paths keep a hash of their beginning). Vote: Spark sums
+the scores of every path over a host's pages, whole numbers from each page,
+and keeps the path with the largest sum. Second pass: every page is
 extracted again from the elements on its host's winning path, widened to the
 nearest article or main around them; a page without them falls back on its own
 best container, widened likewise.
 
 Scanning is one linear pass over tags. Scripts, styles, comments and markup
 go; so do menus, headers, footers, asides, adverts, notices, forms and reader
-comments, by tag, role or class word. Character references are decoded, white
+comments, by tag, role or class. Outside an article any word of a class or id
+may mark them; inside one only a class or id that says nothing else does
+("ad", "comment-list", "share buttons", not "ad-hoc" or "related-work"), and
+not the words that article parts go by as well. Character references are decoded, white
 space within a block becomes one space, blocks are joined by one line feed.
 Unclosed tags end with what contains them, and a page may stop anywhere.
 Null and empty pages give an empty text; a page whose URL is null or has no
@@ -20,6 +24,7 @@ host votes under the host ''. Repeated rows vote repeatedly.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter, defaultdict
@@ -30,15 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import stored
+from cosmolake.llm._shared import fresh, stored
 
-DEEP = 60  #: Elements deeper than this share their ancestor's path, which bounds a path's length.
+LONG = 400  #: Of a path longer than this the beginning becomes a hash, so every element has a path of its own and all are short.
 BROADCAST_HOSTS = 200_000  #: Winning paths are broadcast up to so many hosts.
-VOTES = 3  #: A page votes with its best paths, at most so many.
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button canvas".split())
+RAW = frozenset("script style textarea title template iframe svg select option button canvas annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CONTAINER = frozenset("article body main section div td blockquote".split())
 ENDS_P = BLOCK - frozenset("body html".split())
@@ -46,10 +50,14 @@ SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 # Tags and words that mark what isn't main text.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog head search".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead sidebar sidebars aside widget widgets related recommended recommendations share sharing social comment comments disqus discussion replies respond pagination pager toolbar skip print".split())
+DOUBTFUL_WORDS = frozenset("print discussion skip banner replies respond notes related recommended menu menus".split())  # also words for parts of an article
+FRAME_WORDS = frozenset("area bar block blocks body bottom box button buttons container content group header inline inner item items left links list main module outer panel posts right row section site slot thread title top unit wrap wrapper zone".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][^\s=/>]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_VALUE = r"\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]*+"
+_INSIDE = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE}))?|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*){_INSIDE}(?:>|\Z)|<([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)", re.S)
+_ATTR = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*+)))?")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _RAW_END: dict[str, re.Pattern[str]] = {}
@@ -77,18 +85,33 @@ class Block:
     linked: int = 0
 
 
+def _short(path: str) -> str:
+    """A path, or a hash of its beginning and its end."""
+    if len(path) <= LONG:
+        return path
+    cut = len(path) - LONG // 2
+    return f"#{hashlib.blake2b(path[:cut].encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}{path[cut:]}"
+
+
 def _named(tag: str, attrs: dict[str, str]) -> str:
     """A tag with its classes, generalised: sorted, digits folded."""
     cls = sorted({re.sub(r"\d+", "0", c) for c in attrs.get("class", "").lower().split()})
-    return tag + "".join(f".{c}" for c in cls[:4])
+    return tag + "".join(f".{c}" for c in cls)
 
 
-def _boiler(tag: str, attrs: dict[str, str], within_article: bool) -> bool:
+def _boiler(tag: str, attrs: dict[str, str], within_article: bool, in_line: bool = False) -> bool:
     if tag in BOILER_TAGS or tag == "header" and not within_article or attrs.get("role", "").lower() in BOILER_ROLES or attrs.get("aria-hidden", "").lower() == "true":
         return True
     if tag in ("html", "body", "main", "article"):
         return False
-    return any(w in BOILER_WORDS for key in ("class", "id") for w in _WORD.findall(attrs.get(key, "").lower()))
+    names = [w for key in ("class", "id") for w in attrs.get(key, "").lower().split()]
+    if not within_article and not in_line:
+        return any(w in BOILER_WORDS for name in names for w in _WORD.findall(name))
+    for name in names:
+        said = [w for w in _WORD.findall(name) if w not in FRAME_WORDS]
+        if said and all(w in BOILER_WORDS and w not in DOUBTFUL_WORDS for w in said):
+            return True
+    return False
 
 
 def scan(page: str) -> tuple[list[Block], list[Element]]:
@@ -155,14 +178,16 @@ def scan(page: str) -> tuple[list[Block], list[Element]]:
                         break
             if tag in VOID:
                 continue
-            attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m.group(3))}
+            attrs = {}
+            for k, a, b, c in _ATTR.findall(m.group(3)):
+                attrs.setdefault(k.lower(), entities.unescape(a or b or c))  # the first of a name counts
             up = stack[-1]
             count += 1
             if tag in BLOCK:
-                path = f"{up.path}/{_named(tag, attrs)}" if up.depth < DEEP else up.path
+                path = _short(f"{up.path}/{_named(tag, attrs)}")
                 e = Element(tag, path, _boiler(tag, attrs, up.article), up, order=count)
             else:
-                e = Element(tag, up.path, _boiler(tag, attrs, True), up, order=count)
+                e = Element(tag, up.path, _boiler(tag, attrs, up.article, True), up, order=count)
             e.inside = up.inside or e.boiler
             e.article = up.article or tag in ("article", "main")
             e.depth = up.depth + 1
@@ -207,14 +232,10 @@ def score(blocks: list[Block], containers: list[Element]) -> list[Element]:
 
 
 def paths(page: str) -> list[tuple[str, float]]:
-    """The page's votes: generalised paths of its best containers, each path once."""
+    """The page's votes: generalised paths of its containers, each path once, the best container's first."""
     out: dict[str, float] = {}
     for c in score(*scan(page)):
-        if c.path not in out:
-            if len(out) == VOTES:
-                break
-            out[c.path] = 0.0
-        out[c.path] += c.score
+        out[c.path] = out.get(c.path, 0.0) + c.score
     return list(out.items())
 
 
@@ -264,12 +285,12 @@ def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: dict[tuple[str, str], float] = defaultdict(float)
+            total: dict[tuple[str, str], int] = defaultdict(int)
             for h, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for path, s in paths(p.as_py() or ""):
-                    total[h, path] += s
+                    total[h, path] += round(s)
             keys = list(total)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([round(total[k]) for k in keys], pa.int64())], ["host", "path", "score"])
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([total[k] for k in keys], pa.int64())], ["host", "path", "score"])
 
     found = pages.select(host(F.col(url)).alias("host"), F.col(page).alias("html")).where("html is not null").mapInArrow(task, "host string, path string, score long")
     sums = found.groupBy("host", "path").agg(F.sum("score").alias("score"))
@@ -277,16 +298,17 @@ def votes(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", out: str = "text") -> DataFrame:
-    """``pages`` with ``out``: the main text by the host's winning path."""
-    won = stored(votes(pages, url, page).withColumnsRenamed({"host": "_host", "path": "_path"}), "votes")
+    """``pages`` with ``out``: the main text by the host's winning path; any other columns stay, whatever their names."""
+    mine, theirs, won_path = fresh(pages, "host", "won", "path")
+    won = stored(votes(pages, url, page).withColumnsRenamed({"host": theirs, "path": won_path}), "votes")
     if won.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         won = F.broadcast(won)  # then no page moves; beyond that, a join whose large partitions are split
-    keyed = pages.withColumn("_h", host(F.col(url)))
-    joined = keyed.join(won, F.col("_h") == F.col("_host"), "left")
+    keyed = pages.withColumn(mine, host(F.col(url)))
+    joined = keyed.join(won, F.col(mine) == F.col(theirs), "left")
 
     @F.arrow_udf("string")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html, path in batches:
             yield pa.array([extract(h.as_py() or "", p.as_py()) for h, p in zip(html, path, strict=True)], pa.string())
 
-    return joined.withColumn(out, run(F.col(page), F.col("_path"))).drop("_h", "_host", "_path")
+    return joined.withColumn(out, run(F.col(page), F.col(won_path))).drop(mine, theirs, won_path)

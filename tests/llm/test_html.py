@@ -55,3 +55,75 @@ def test_all_of_an_article_made_of_sections():
     path = html_text.paths(page)[0][0]
     want = "\n".join(["Title", "Intro", long.strip(), long.strip(), "End"])
     assert html_text.extract(page, path) == html_text.extract(page, "/body/article/section") == html_text.extract(page, None) == want
+
+
+def text_of(body):
+    return html_text.extract(f"<html><body><nav>n</nav>{body}</body></html>", None)
+
+
+def test_attributes_as_the_standard_reads_them():
+    assert text_of("<article><p title=don't>Hello there</p></article>") == "Hello there"
+    assert text_of("<article><p a='>' b=\">\" c=x>y</p><p a = b / c>z</p></article>") == "y\nz"
+    assert text_of('<article><p =x class="a"class=ad>kept</p></article>') == "kept"
+    for s in ("<p a=" * 30_000, "<p '" * 30_000, "<p " + "a=b " * 60_000, "<p a=\"" * 30_000, "</p " + "=" * 100_000):
+        html_text.extract(s, None)
+
+
+def test_parts_of_an_article_stay():
+    for part in ("<div class='discussion'><p>x</p></div>", "<section id='related-work'><p>x</p></section>", "<p class='print'>x</p>", "<p class='ad-hoc'>x</p>", "<noscript><p>x</p></noscript>", "<object>x</object>", "<p><math><mi>x</mi></math></p>"):
+        assert text_of(f"<article><p>start</p>{part}</article>") == "start\nx", part
+    for part in ("<div class='ad'>x</div>", "<div class='comment-list'>x</div>", "<div id=comments>x</div>", "<aside>x</aside>", "<form>x</form>", "<div class='cookie-notice box'>x</div>", "<ul class='share-buttons'><li>x</ul>", "<style>x</style>", "<footer>x</footer>", "<nav>x</nav>"):
+        assert text_of(f"<article><p>start</p>{part}</article>") == "start", part
+
+
+def test_every_depth_and_class_has_its_path():
+    deep = "<div class=d>" * 300
+    _, containers = html_text.scan(f"{deep}<div class='a b c d e'>x</div><div class='a b c d f'>y")
+    assert len({c.path for c in containers}) == 302 and max(len(c.path) for c in containers) <= html_text.LONG + 20
+    page = "<body>" + "".join(f"<div class=k{c}><p>{'w ' * 20}</p></div>" for c in "abcdefgh")
+    assert len(html_text.paths(page)) >= 8
+
+
+def slow(page):
+    """The article's text by the standard library's parser."""
+    import re
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.off, self.inside, self.out = 0, 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.off += tag in ("nav", "aside", "footer", "form", "script", "style")
+            self.out.append([]) if tag in html_text.BLOCK else self.out[-1].append(" " if tag == "br" else "")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.off -= tag in ("nav", "aside", "footer", "form", "script", "style")
+            if tag in html_text.BLOCK:
+                self.out.append([])
+
+        def handle_data(self, data):
+            if self.inside > 0 and self.off <= 0:
+                self.out[-1].append(data)
+
+    p = P()
+    p.feed(page or "")
+    p.close()
+    return "\n".join(x for x in (re.sub(r"\s+", " ", "".join(b)).strip() for b in p.out) if x)
+
+
+def test_whole_table_equals_a_slow_extraction(spark):
+    from cosmolake.llm import op2_host_paths
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = op2_host_paths.query(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(pages) and all(r["text"] == slow(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://h.org/1", "<p>x</p>", "a", "b", "c", "d")], "page_id long, url string, html string, _host string, _path string, _h string, _won string")
+    r = html_text.main_text(df).collect()[0]
+    assert (r["text"], r["_host"], r["_path"], r["_h"], r["_won"]) == ("x", "a", "b", "c", "d")
