@@ -64,3 +64,26 @@ def test_edge_cases(spark):
     assert by[1][0]["text"] is None and by[1][0]["n_lines"] == 0 and by[2][0]["text"] == "" and by[5][0]["text"] == "\n\n"
     assert by[None][0]["n_removed"] == 0 and by[3][0]["text"] == "" and [r["text"] for r in by[4]] == ["", ""]  # a null key sorts first
     assert line_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    long = "\n".join(f"w{k} " * 30 for k in range(5))
+    names = ["_gd", "_gt", "_t", "_left", "_gone", "_d", "_i"]
+    df = spark.createDataFrame([(1, long, *names), (2, long, *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_dedup.dedup(df).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: long, 2: ""} and all(r[n] == n for r in got for n in names)
+
+
+def test_matches_hang_on_fingerprints(spark):
+    """Windows meet by fingerprint and by the lines on both sides of it, not by a hash of the whole."""
+    a = "\n".join(f"w{k} " * 6 for k in range(12))
+    df = spark.createDataFrame([(1, a), (2, "x y\n" + a + "\nz")], "doc_id long, text string")
+    w = line_dedup.windows(line_dedup.line_rows(df, "doc_id", "text"), 20).collect()
+    assert not {"_k", "_m"} & set(w[0].asDict())
+    lines = {r["_i"]: r["_h"] for r in line_dedup.line_rows(df.where("doc_id = 1"), "doc_id", "text").collect()}
+    for r in w:
+        if r["_d"] == 1:
+            inside = [lines[k] for k in range(r["_from"], r["_to"] + 1)]
+            assert r["_from"] <= r["_at"] <= r["_to"] and lines[r["_at"]] == r["_fp"] == min(inside)
+    one = {(r["_kind"], r["_fp"], r["_l"], r["_r"]) for r in w if r["_d"] == 1}
+    assert one <= {(r["_kind"], r["_fp"], r["_l"], r["_r"]) for r in w if r["_d"] == 2}
