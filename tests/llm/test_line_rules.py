@@ -63,3 +63,24 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert line_rules.rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    own = lambda k: f"line {chr(97 + k)} of its own with ten more words to keep it in"
+    rows = [(1, f"shared line\n{own(0)}", "h")] * 12 + [(2, f"shared line\n{own(1)}", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["n_lost_lines"] for r in line_rules.rules(df).collect()} == {0}
+    rows += [(10 + k, f"shared line\n{own(2 + k)}", "h") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r["_docs"] for r in line_rules.frequent_lines(df).collect()] == [11]
+    assert {r["n_lost_lines"] for r in line_rules.rules(df).collect()} == {1}
+    loose = spark.createDataFrame([(None, "shared line\nx", "h")] * 12 + [(None, f"shared line\n{own(3)}", "h")], "doc_id long, text string, source string")
+    assert line_rules.frequent_lines(loose).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["_d", "_t", "_ht", "_gone", "_words", "_lines", "_wins", "_host", "_h"]
+    df = spark.createDataFrame([(*r, *names) for r in _corpus()], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for got in (line_rules.cleaned(df).collect(), line_rules.base_counts(df).collect()):
+        assert all(r[n] == n for r in got for n in names) and len(got) == len(_corpus())
+    assert line_rules.rules(df).count() == len(_corpus())
