@@ -96,3 +96,46 @@ def test_every_counted_gram_reaches_the_model(spark):
     model = langid.train(df, "text", "lang")
     want = langid.count(df, "text", "lang").select("gram").distinct().count()
     assert want > 456_976 and len(model.grams[3]) == want and "rare" in model.langs
+
+
+def test_predictions_equal_brute_force(spark):
+    """Language, share and cross-entropy from the definition, letter by letter; several languages share grams."""
+    r = random.Random(7)
+    learn = _texts(6) + [(900, "the das le qa", "en"), (901, "", "fr"), (902, None, "fr"), (903, "xx", None)]
+    model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"), "text", "lang")
+    langs = sorted(WORDS)
+    counts = {x: langid.grams(Counter(w for _, t, lang in learn if lang == x and t for w in langid.words(t)), 4) for x in langs}
+    alphabet = len({g[-1] for c in counts.values() for g in c}) + 1
+    letters = "thedasunrläqé"
+    texts = ["The thing", "Über und!", "élève 12 la", "Qa das the"] + [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(3)) for _ in range(12)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", model).collect()
+    for row in got:
+        ce = []
+        for x in langs:
+            total = size = 0
+            for w in langid.words(row["text"]):
+                padded = langid.PAD * 3 + w + langid.END
+                total += sum(math.log(slow_probability(counts[x], padded[i : i + 3], padded[i + 3], 4, alphabet)) for i in range(len(w) + 1))
+                size += len(w) + 1
+            ce.append(-total / size)
+        best = min(range(3), key=ce.__getitem__)
+        share = 1 / sum(math.exp(langid.SHARPNESS * (ce[best] - c)) for c in ce)
+        assert row["lang_id"]["lang"] == langs[best]
+        assert row["lang_id"]["cross_entropy"] == pytest.approx(ce[best], rel=1e-5) and row["lang_id"]["score"] == pytest.approx(share, rel=1e-3)
+
+
+def test_work_in_small_pieces_changes_nothing(monkeypatch):
+    rows = [(lang, g, n) for lang, words in WORDS.items() for g, n in langid.grams(Counter(words), 4).items()]
+    whole = langid.fit(rows)
+    want = langid.word_scores(whole, WORDS["en"] + WORDS["fr"])
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert np.array_equal(langid.word_scores(whole, WORDS["en"] + WORDS["fr"]), want)
+    assert np.allclose(langid.fit(rows).limit, whole.limit)
+
+
+def test_limits_come_from_texts_set_aside(spark):
+    docs = spark.createDataFrame(_texts(), "doc_id long, text string, lang string")
+    n = langid.count(docs, "text", "lang").agg({"n": "sum", "held": "sum"}).collect()[0]
+    assert 0 < n["sum(held)"] < n["sum(n)"] / 3
+    model = langid.train(docs, "text", "lang")
+    assert np.isfinite(model.limit).all() and len(model.limit) == 3
