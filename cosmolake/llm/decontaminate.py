@@ -20,8 +20,9 @@ words. An alignment needs ``plain`` ordinary tokens or equal words throughout;
 so do items shorter than a window, which are matched whole. An item's exact
 copy always matches, however short. The windows with ``plain`` ordinary tokens
 in the plain reading also count by themselves, whatever the others say.
-Null texts have no tokens. Rows with the
-same key and text share one result; any number of documents may hold an item.
+Null texts have no tokens. Rows with the same key and text share one result;
+any number of documents may hold an item. Other columns stay, whatever their
+names; a column named items is replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import stored
+from cosmolake.llm._shared import fresh, stored
 
 WIDTH, RUN, PLAIN = 8, 13, 5
 BROADCAST_ROWS = 500_000  #: Rows of benchmark windows or alignments that are broadcast; more are joined by a shuffle.
@@ -121,25 +122,28 @@ def alignments(docs: DataFrame, items: DataFrame, key: str, text: str, item: str
     x = docs.select(F.col(key).alias("_d"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).withColumn("_t", F.xxhash64("_text"))
     x = _templated(x.withColumn("_words", _tokens(F.col("_text"))), "_text")
     x = x.select("_d", "_t", F.size("_a").alias("_length"), *(_word_hashes(F.col(c)).alias(c) for c in kinds))
-    found = None
+    if not lengths:
+        none = {"_item": F.lit(None).cast("long"), "_offset": F.lit(0), "_strict": F.lit(True), "_first": F.lit(0), "_len": F.lit(0)}
+        return stored(x.select("_d", "_t").withColumns(none).limit(0), "alignments")
+    # One projection hashes the windows of all widths, width after width, those of one kind after those of another.
+    windows = F.concat(*(_hashes(F.col(c), n) for n in sorted(lengths) for c in kinds[: 2 + lengths[n]]))
+    hashed = x.select("_d", "_t", "_length", F.posexplode(windows).alias("_k", "_w"))
+    each = lambda n: F.greatest(F.col("_length") - (n - 1), F.lit(0))
+    start, begin, block = F.lit(0), F.lit(None).cast("int"), F.lit(None).cast("int")
     for n in sorted(lengths):
-        own = bench.where(F.col("_width") == n)
-        windows = F.concat(*(_hashes(F.col(c), n) for c in kinds[: 2 + lengths[n]]))  # those of one kind after those of another
-        hashed = x.select("_d", "_t", (F.col("_length") - (n - 1)).alias("_each"), F.posexplode(windows).alias("_k", "_w"))
-        hashed = hashed.select("_d", "_t", (F.col("_k") % F.col("_each")).alias("_pos"), (F.col("_k") < F.col("_each")).alias("_plain"), "_w")
-        hits = hashed.join(_sized(own, BROADCAST_ROWS), "_w")
-        at = lambda only: F.array_sort(F.collect_set(F.when(only, F.col("_at"))))
-        part = hits.groupBy("_d", "_t", "_item", "_size", (F.col("_pos") - F.col("_at")).alias("_offset")).agg(
-            at(F.lit(True)).alias("_all"), at(F.col("_rich") & F.col("_plain")).alias("_own")
-        )
-        need = F.least(F.lit(run), F.col("_size"))
-        covered = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size("_all"), F.lit(2))), F.lit(n), lambda c, i: c + F.least(F.coalesce(F.get("_all", i - 1) - F.get("_all", i - 2), F.lit(0)), F.lit(n)))
-        span = lambda c, strict, enough: F.when(enough, F.struct(F.lit(strict).alias("_strict"), F.get(c, F.lit(0)).alias("_first"), (F.array_max(c) - F.get(c, F.lit(0)) + n).alias("_len")))
-        spans = F.array_compact(F.array(span("_own", True, F.size("_own") + (n - 1) >= need), span("_all", False, covered >= need)))
-        part = part.where((F.size("_own") > 0) | (covered >= need)).select("_d", "_t", "_item", "_offset", F.inline(spans))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = x.select("_d", "_t").withColumns({"_item": F.lit(None).cast("long"), "_offset": F.lit(0), "_strict": F.lit(True), "_first": F.lit(0), "_len": F.lit(0)}).limit(0)
+        begin, block = F.when(F.col("_width") == n, start).otherwise(begin), F.when(F.col("_width") == n, (2 + int(lengths[n])) * each(n)).otherwise(block)
+        start = start + (2 + int(lengths[n])) * each(n)
+    hits = hashed.join(_sized(bench, BROADCAST_ROWS), "_w").withColumn("_k", F.col("_k") - begin).where((F.col("_k") >= 0) & (F.col("_k") < block))
+    hits = hits.withColumns({"_pos": F.col("_k") % each(F.col("_width")), "_plain": F.col("_k") < each(F.col("_width"))})
+    at = lambda only: F.array_sort(F.collect_set(F.when(only, F.col("_at"))))
+    part = hits.groupBy("_d", "_t", "_item", "_size", "_width", (F.col("_pos") - F.col("_at")).alias("_offset")).agg(
+        at(F.lit(True)).alias("_all"), at(F.col("_rich") & F.col("_plain")).alias("_own")
+    )
+    n, need = F.col("_width"), F.least(F.lit(run), F.col("_size"))
+    covered = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size("_all"), F.lit(2))), n, lambda c, i: c + F.least(F.coalesce(F.get("_all", i - 1) - F.get("_all", i - 2), F.lit(0)), n))
+    span = lambda c, strict, enough: F.when(enough, F.struct(F.lit(strict).alias("_strict"), F.get(c, F.lit(0)).alias("_first"), (F.array_max(c) - F.get(c, F.lit(0)) + n).alias("_len")))
+    spans = F.array_compact(F.array(span("_own", True, F.size("_own") + (n - 1) >= need), span("_all", False, covered >= need)))
+    found = part.where((F.size("_own") > 0) | (covered >= need)).select("_d", "_t", "_item", "_offset", F.inline(spans))
     return stored(found, "alignments")
 
 
@@ -166,7 +170,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, run: int = RUN, plain: int = PLAIN) -> DataFrame:
     """``docs`` with ``items`` (array of item ids, sorted, empty for a clean document)."""
-    held = matches(docs, items, key, text, item, item_text, width, run, plain).groupBy("_d", "_t").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
-    held = _sized(stored(held, "held"), BROADCAST_ROWS)
-    x = docs.withColumn("_ht", F.xxhash64(text)).join(held, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_ht") == F.col("_t")), "left")
-    return x.withColumn("items", F.coalesce("_items", F.array().cast("array<bigint>"))).drop("_d", "_t", "_ht", "_items")
+    d, t, hit = fresh(docs, "d", "t", "items")
+    held = matches(docs, items, key, text, item, item_text, width, run, plain).groupBy("_d", "_t").agg(F.sort_array(F.collect_set("_item")).alias(hit))
+    held = _sized(stored(held.withColumnsRenamed({"_d": d, "_t": t}), "held"), BROADCAST_ROWS)
+    x = docs.join(held, F.col(key).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(t)), "left")
+    return x.withColumn("items", F.coalesce(hit, F.array().cast("array<bigint>"))).drop(d, t, hit)

@@ -61,3 +61,19 @@ def test_names_that_open_a_sentence(spark):
     mixed = NAMES[1].replace("Alice buys", "Carol buys")
     got = held(spark, [*changed, f"First. {changed[0]}", f"so {changed[1]}", changed[1].replace(". How", ", how"), mixed], [*enumerate(NAMES)])
     assert [got[k] for k in range(6)] == [[0], [1], [0], [1], [1], []]
+
+
+def test_items_of_many_lengths(spark):
+    items = [(1, ITEM), (2, "one two three four five six"), (3, "seven eight nine ten eleven"), (4, "red blue"), (5, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    texts = [t for _, t in items] + [f"pre {t} post" for _, t in items] + ["one two three four five", "blue red", "nine ten eleven", "; ".join(t for _, t in items)]
+    got = held(spark, texts, items)
+    for k in range(5):
+        assert k + 1 in got[k] and k + 1 in got[5 + k]
+    assert got[10] == got[11] == got[12] == [] and got[13] == [1, 2, 3, 4, 5]
+
+
+def test_clashing_columns(spark):
+    names = ["_d", "_t", "_ht", "_items", "_w", "_text"]
+    docs = spark.createDataFrame([(1, f"so {ITEM}", *names), (2, "clean words", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in d.decontaminate(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()}
+    assert got[1]["items"] == [7] and got[2]["items"] == [] and all(r[n] == n for r in got.values() for n in names)
