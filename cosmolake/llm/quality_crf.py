@@ -6,9 +6,10 @@ words, repeated lines, word lengths); edge potentials tie neighbouring labels.
 A document's quality is the mean of the forward-backward marginals for
 "good", weighted by the lines' lengths in bytes.
 
-Training takes a bounded sample of labelled documents (``MAX_DOCS`` rows of
-at most ``MAX_BYTES`` bytes) whose lines inherit the document's label; scoring
-runs over whole texts. Texts that are null, empty or without a word score 0.
+Training takes a bounded sample of labelled documents: the first ``MAX_DOCS``
+by a hash of doc_id, of these as many whole ones as have ``MAX_LINES`` lines
+together; one that doesn't fit is passed over. Their lines inherit the
+document's label. Scoring runs over whole texts. Texts that are null, empty or without a word score 0.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import SPACE, mix, slices, span_hash, word_spans
+from cosmolake.llm._shared import SPACE, mix, slices, span_hash, stored, word_spans
 
 MAX_DOCS = 6_000  #: Bound of the training sample, in documents.
-MAX_BYTES = 65_536  #: Longer documents are not sampled for training.
+MAX_LINES = 300_000  #: Bound of the training sample, in lines of all its documents.
 ROUNDS, RATE, RIDGE = 250, 0.08, 2e-3
 
 
@@ -176,36 +177,43 @@ def fit(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> Model:
     return Model(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
-    """Fit on at most ``max_docs`` rows of ``labels`` (doc_id, quality 0/1), the first by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Model:
+    """Fit on at most ``max_docs`` rows of ``labels`` (doc_id, quality 0/1), the first by a hash of doc_id, and ``max_lines`` lines.
 
     Rows with a null in either column are left out; of several labels of one
-    document the least counts. Only line features reach the driver.
+    document the least counts, of several texts the smallest. Only line
+    features reach the driver.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
         .groupBy("doc_id").agg(F.min("quality").alias("_y"))
         .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_docs)
     )
-    sample = docs.select("doc_id", "text").where(F.octet_length("text").between(1, MAX_BYTES)).join(F.broadcast(picked), "doc_id").select("text", "_y")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_y").alias("_y"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
-            for raw, off in slices(b.column(0)):
+            lines: list[int] = []
+            for raw, off in slices(b.column(1)):
                 x, _, first = line_features(raw, off)
                 flat = np.ascontiguousarray(x, np.float32)
                 out += [flat[first[k] : first[k + 1]].tobytes() for k in range(len(off) - 1)]
-            yield pa.record_batch([pa.array(out, pa.binary()), b.column(1).cast(pa.int32())], ["x", "y"])
-
-    rows = sample.mapInArrow(features, "x binary, y int").limit(4 * max_docs).toArrow()
-    parts = [np.frombuffer(v.as_py(), np.float32).reshape(-1, N_FEATURES) for v in rows["x"]]
-    if not parts:
+                lines += np.diff(first).tolist()
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(lines, pa.int64()), pa.array(out, pa.binary()), b.column(2).cast(pa.int32())], ["doc_id", "n", "x", "y"])
+
+    rows = stored(sample.mapInArrow(features, "doc_id long, n long, x binary, y int").where("n > 0"), "lines")
+    fits, held = [], 0
+    for r in sorted(rows.select("doc_id", "n", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if held + r["n"] <= max_lines:  # at most max_docs rows, each three numbers
+            held += r["n"]
+            fits.append(r["doc_id"])
+    if not fits:
         return Model(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    order = np.argsort([float(p.sum()) for p in parts], kind="stable")  # a fixed order, whatever order the tasks ended in
-    parts = [parts[k] for k in order]
-    y = rows["y"].to_numpy()[order].astype(np.float64)
+    got = rows.where(F.col("doc_id").isin(fits)).select("doc_id", "x", "y").toArrow().sort_by("doc_id")
+    parts = [np.frombuffer(v.as_buffer(), np.float32).reshape(-1, N_FEATURES) for v in got["x"]]
     n = np.array([len(p) for p in parts])
+    y = got["y"].to_numpy().astype(np.float64)
     return fit(np.concatenate(parts).astype(np.float64), np.repeat(y, n), np.concatenate([[0], np.cumsum(n)]))
 
 

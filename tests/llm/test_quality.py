@@ -71,3 +71,53 @@ def test_training_without_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, quality int")
     model = q.train(none, none.select("doc_id", "quality"))
     assert q.score(_docs(spark, 3), "text", model).count() == 3
+
+
+def slow_features(text):
+    """Features of each line with a word, line by line from the definitions; neighbours' lie beside them."""
+    import re
+
+    own, sizes, seen = [], [], set()
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        raw = line.encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+        if not words:
+            continue
+        ink = sum(map(len, words))
+        share = lambda chars, raw=raw: sum(c in chars for c in raw)
+        symbols = share(b"#*$%&|<>{}[]\\^~=_/@+") / ink
+        upper, letters = share(range(65, 91)), share(range(65, 91)) + share(range(97, 123)) + share(range(128, 256))
+        own.append([
+            min(1, symbols * 4), symbols, upper / max(letters, 1), share(range(48, 58)) / ink, min(1, share(b"!?") / ink * 8),
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), 1 - len(set(words)) / len(words), line in seen,
+            min(1, ink / len(words) / 20), min(1, np.log1p(len(words)) / 8), letters / ink,
+        ])
+        seen.add(line)
+        sizes.append(len(raw) + (k < len(lines) - 1))
+    zero = [0.0] * q.N_LINE
+    full = [x + (own[k - 1] if k else zero) + (own[k + 1] if k + 1 < len(own) else zero) + [1.0] for k, x in enumerate(own)]
+    return np.array(full, float).reshape(-1, q.N_FEATURES), np.array(sizes, float)
+
+
+def test_scores_equal_a_slow_version(spark):
+    r = random.Random(8)
+    words = ["the", "cat", "CAT", "12", "é#", "%%%", "!?", "a", "a", "longword" * 4, "\t", ""]
+    texts = ["", "one", "x\nx\nx", " \n\n y"] + ["\n".join(" ".join(r.choice(words) for _ in range(r.randint(0, 6))) for _ in range(r.randint(1, 8))) for _ in range(60)]
+    rng = np.random.default_rng(4)
+    model = q.Model(rng.normal(size=q.N_FEATURES), rng.normal(size=(2, 2)))
+    got = {r["doc_id"]: r["score"] for r in q.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", model).collect()}
+    for k, t in enumerate(texts):
+        x, size = slow_features(t)
+        want = float(brute_marginals(x @ model.weights, model.edge) @ size / size.sum()) if len(x) else 0.0
+        assert abs(got[k] - want) < 1e-9, repr(t)
+
+
+def test_training_bounds(spark):
+    docs = _docs(spark, 40).union(spark.createDataFrame([(999, "good words here\n" * 5_000, 1)], "doc_id long, text string, quality int"))
+    labels = docs.select("doc_id", "quality")
+    few = q.train(docs, labels, max_lines=40)
+    assert np.isfinite(few.weights).all() and not np.allclose(few.weights, q.train(docs, labels).weights)
+    assert (q.train(docs, labels, max_lines=0).weights == 0).all()
+    twice = q.train(docs.union(docs), labels)
+    assert np.allclose(twice.weights, q.train(docs, labels).weights)  # repeated rows train once
