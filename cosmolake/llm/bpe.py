@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cosmolake.llm._shared import fresh
+
 INF = 1 << 60
 FAN = 8  #: Children of a node of the segment tree.
 TOGETHER = 5000  #: Pieces whose trees stand side by side.
@@ -182,6 +184,7 @@ class _Memo(dict):
         for group in by.values():
             for k in range(0, len(group), TOGETHER):
                 part = group[k : k + TOGETHER]
+                self.bound()
                 self.update(zip(part, merge_many([c.encode() for c in part], self.pairs), strict=True))
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
@@ -193,12 +196,15 @@ class _Memo(dict):
             else:
                 ids = tuple(chain.from_iterable(map(self.__getitem__, found)))
         if len(chunk) <= 256:
-            if len(self) >= MEMO // 2:
-                self.old = dict(self)
-                self.clear()
+            self.bound()
             self[chunk] = ids
         return ids
 
+    def bound(self) -> None:
+        if len(self) >= MEMO // 2:
+            self.old = dict(self)
+            self.clear()
+
 
 @lru_cache(2)
 def _memo(path: str, pattern: str) -> _Memo:
@@ -320,8 +326,9 @@ def encode_decode(df: DataFrame, text: str, path: str, pattern: str, ids: str =
                 raw = pa.array([b"".join(map(look, p.tolist())) for p in parts], pa.binary())
                 yield pa.StructArray.from_arrays([_list_array(parts), raw], ["ids", "decoded"])
 
-    x = df.withColumn("_both", run(F.col(text)))
-    return x.withColumns({ids: F.col("_both.ids"), decoded: F.col("_both.decoded")}).drop("_both")
+    (both,) = fresh(df, "both")
+    x = df.withColumn(both, run(F.col(text)))
+    return x.withColumns({ids: F.col(both)["ids"], decoded: F.col(both)["decoded"]}).drop(both)
 
 
 def ids_text(ids: str) -> Column:

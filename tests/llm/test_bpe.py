@@ -65,3 +65,9 @@ def test_separate_operators_give_the_same(spark):
 
 def test_empty_table(spark):
     assert op9_byte_bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Hello world", "kept")], "doc_id long, text string, _both string")
+    r = bpe.encode_decode(df, "text", PATH, public_tokenizers.PATTERN).collect()[0]
+    assert r["_both"] == "kept" and bytes(r["decoded"]) == b"Hello world"

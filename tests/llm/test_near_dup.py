@@ -107,3 +107,21 @@ def test_sets_do_not_depend_on_slices():
     one = list(shingles.sets(pa.array(texts)))
     for k, t in enumerate(texts):
         assert (next(shingles.sets(pa.array([t]))) == one[k]).all() and len(one[k]) == len(shingle_set(t))
+
+
+def test_clashing_columns(spark):
+    names = ["_gone", "node", "root", "a", "b"]
+    df = spark.createDataFrame([(k, "one two three four five six", *names) for k in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = near_dup.kept_docs(df).collect()
+    assert [r["doc_id"] for r in got] == [1] and all(r[n] == n for r in got for n in names)
+
+
+@pytest.mark.parametrize("limit", [0, 400_000])
+def test_shuffled_joins_give_the_same(spark, monkeypatch, limit):
+    from cosmolake.operators import rounds
+
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(rounds, "BROADCAST_ROWS", limit)
+    rows = corpus(11, 40)
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 80)

@@ -37,3 +37,24 @@ def test_empty_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in any column, repeated ids and clashing names: each stage gives the columns of documents and loses no clean row."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = [r["text"] for r in docs.where("lang = 'en' and length(text) between 400 and 2000").orderBy("doc_id").limit(40).collect()]
+    rows = [(90_000 + k, t, None if k % 3 else "en", None if k % 2 else "s", len(t)) for k, t in enumerate(good)]
+    rows += [(None, "alone with no id " + good[0][::-1], "en", "s", None), (1, None, "en", "s", None), (2, "", "en", "s", 0), rows[5], rows[5]]
+    x = spark.createDataFrame([(*r, "g", "h", "t") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _gone string, _ht string, _t string")
+    for name, stage in c.STAGES[:-1]:
+        got = stage(spark, x, SF)
+        assert got.columns == docs.columns, name
+        assert got.count() <= len(rows)
+    assert c.STAGES[-1][1](spark, x, SF).count() == len(rows)
+
+
+def test_line_dedup_counts_the_text_it_leaves(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    removed = {r["doc_id"]: r for r in line_dedup.dedup(docs).where("n_removed > 0").collect()}
+    got = [r for r in c.line_dedup_stage(spark, docs, SF).collect() if r["doc_id"] in removed]
+    assert got and all(r["n_chars"] == len(r["text"]) and r["text"] == removed[r["doc_id"]]["text"] for r in got)
