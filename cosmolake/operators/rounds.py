@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,14 +12,22 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 400_000
 SALTS = 32
+_OWN: list[str] = []
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, under one of our own, which only a local master can share.
+
+    Our own folder goes when the process ends; what stands in a shared one is its owner's to clear.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='cosmolake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="cosmolake-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        base = f"file://{_OWN[0]}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
