@@ -178,19 +178,29 @@ def difference_by_halo(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["halo_id", "pid"], "left_anti")
 
 
-def closure(halos: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(host, sub, depth): all nested subs of every object; stops when a level is empty, or at ``max_depth`` for a cycle."""
-    direct = stored(halos.where("host_id >= 0").select(F.col("host_id").alias("host"), F.col("halo_id").alias("sub")), "direct")
-    level = direct.withColumn("depth", F.lit(1))
-    out, depth = level, 1
-    down = direct.select(F.col("host").alias("_h"), F.col("sub").alias("_s"))
-    while depth < max_depth:
-        depth += 1
-        level = stored(level.join(down, level.sub == down["_h"]).select("host", F.col("_s").alias("sub"), F.lit(depth).alias("depth")), "level")
-        if level.isEmpty():
+def closure(halos: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(host, sub, depth): all nested subs of every object, each pair at its least depth, however deep.
+
+    Paths double in length each round, so a hierarchy needs as many rounds as
+    the logarithm of its depth, and a cycle ends when a round finds no new
+    pair. With ``max_depth`` every path of up to so many levels is a row.
+    """
+    paths = stored(halos.where("host_id >= 0").select(F.col("host_id").alias("host"), F.col("halo_id").alias("sub"), F.lit(1).alias("depth")), "paths")
+    reach = 1
+    while max_depth is None or reach < max_depth:
+        far = paths.where(F.col("depth") == reach).select("host", F.col("sub").alias("via"))
+        on = paths.select(F.col("host").alias("via"), "sub", (F.col("depth") + reach).alias("depth"))
+        new = far.join(on, "via").select("host", "sub", "depth")
+        if max_depth is None:
+            new = new.groupBy("host", "sub").agg(F.min("depth").alias("depth")).join(paths, ["host", "sub"], "left_anti")
+        else:
+            new = new.where(F.col("depth") <= max_depth)
+        new = stored(new, "paths")
+        if new.isEmpty():
             break
-        out = out.union(level)
-    return out
+        paths = stored(paths.union(new), "paths")
+        reach *= 2
+    return paths
 
 
 def excise_substructure(members: DataFrame, halos: DataFrame) -> DataFrame:

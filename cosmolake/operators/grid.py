@@ -102,8 +102,12 @@ def hierarchy(particles: DataFrame, n: int, threshold: float, max_level: int = 1
 def patches(cells: DataFrame, n: int) -> DataFrame:
     """Cells (level, ix, iy, iz, ...) with ``patch_id``: connected by faces within their level, periodic.
 
-    A patch's id is the smallest cell number in it.
+    A patch's id is the smallest cell number in it. Numbers have 19 bits an
+    axis: a level with more cells a side raises.
     """
+    deepest = cells.agg(F.max("level")).first()[0] or 0
+    if n << deepest > 1 << 19 or deepest > 62:
+        raise ValueError(f"level {deepest} of a grid of {n} has more than {1 << 19} cells a side")
     side = F.lit(n).cast("long") * F.pow(F.lit(2.0), F.col("level")).cast("long")
     number = lambda x, y, z: F.shiftleft(F.col("level").cast("long"), 57) + F.shiftleft(x, 38) + F.shiftleft(y, 19) + z
     own = cells.select("level", "ix", "iy", "iz").distinct().withColumn("node", number(F.col("ix"), F.col("iy"), F.col("iz")))

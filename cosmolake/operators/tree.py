@@ -68,16 +68,21 @@ def descendant_ids(branch: DataFrame, ids: DataFrame) -> DataFrame:
 def trace(branch: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     """(haloid, snap, progid): main branches of ``start`` (snap, haloid) back through ``steps`` snapshots, the start included.
 
-    One join a snapshot against a stored branch table; a branch that ends adds no more rows.
+    Steps double: each round the branches found so far are carried on by a
+    stored table of jumps as long as they are, so their number is the
+    logarithm of ``steps``. A branch that ends adds no more rows.
     """
-    branch = stored(branch, "branch")
-    level = start.select("haloid", "snap", F.col("haloid").alias("progid"))
-    out = level
-    up = branch.select("snap", F.col("haloid").alias("_at"), F.col("progid").alias("_next"))
-    for _ in range(steps):
-        level = level.join(up, (level.snap == up.snap) & (level.progid == up["_at"])).select("haloid", (level.snap - 1).alias("snap"), F.col("_next").alias("progid"))
-        out = out.union(level)
-    return out
+    out = start.select("haloid", "snap", F.col("haloid").alias("progid"), F.lit(0).alias("step"))
+    jump = stored(branch.select(F.col("snap").alias("js"), F.col("haloid").alias("at"), F.col("progid").alias("next")), "jumps")
+    width = 1
+    while width <= steps:
+        on = out.where(F.col("step") + width <= steps).join(jump, (F.col("snap") == F.col("js")) & (F.col("progid") == F.col("at")))
+        out = stored(out.union(on.select("haloid", (F.col("snap") - width).alias("snap"), F.col("next").alias("progid"), (F.col("step") + width).alias("step"))), "branches")
+        width *= 2
+        if width <= steps:
+            more = jump.select((F.col("js") + width // 2).alias("ms"), F.col("at").alias("via"), F.col("next").alias("end"))
+            jump = stored(jump.join(more, (F.col("js") == F.col("ms")) & (F.col("next") == F.col("via"))).select("js", "at", F.col("end").alias("next")), "jumps")
+    return out.drop("step")
 
 
 def progenitors_at(branch: DataFrame, start: DataFrame, snap: int, steps: int) -> DataFrame:

@@ -59,3 +59,11 @@ def test_infall_and_changes(spark):
 def test_unit_cube(spark):
     p = spark.createDataFrame([(1, 0.0, 5.0, 10.0), (2, 10.0, 0.0, 5.0)], "pid long, x double, y double, z double")
     assert {r["pid"]: (r["x"], r["y"], r["z"]) for r in c.unit_cube(p).collect()} == {1: (0.0, 0.5, 0.0), 2: (0.0, 0.0, 0.5)}
+
+
+def test_closure_of_a_deep_chain_and_a_cycle(spark):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 201)] + [(0, -1)], "halo_id long, host_id long")
+    got = c.closure(chain)
+    assert got.count() == 200 * 201 // 2 and got.agg({"depth": "max"}).first()[0] == 200 and got.where("depth <> sub - host").count() == 0
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "halo_id long, host_id long")
+    assert sorted(map(tuple, c.closure(ring).collect())) == [(a, b, (a - b - 1) % 3 + 1) for a in (1, 2, 3) for b in (1, 2, 3)]

@@ -69,3 +69,14 @@ def test_hilbert_neighbours_along_the_curve_touch(spark):
     assert [r["key"] for r in got] == list(range(64))
     for a, b in zip(got, got[1:], strict=False):
         assert sum(abs(a[c] - b[c]) for c in "xyz") == pytest.approx(1 / n)
+
+
+def test_too_many_cells_raise(spark):
+    import pytest
+
+    from cosmolake.operators import grid
+
+    cells = spark.createDataFrame([(11, 1, 2, 3)], "level int, ix long, iy long, iz long")
+    with pytest.raises(ValueError, match="cells a side"):
+        grid.patches(cells, 512)
+    assert grid.patches(cells, 256).count() == 1

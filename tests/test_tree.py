@@ -50,3 +50,11 @@ def test_merger_rules(spark):
     e = spark.createDataFrame([(2, 1, 2000, 1, 1400, 500, 0.3), (2, 1, 2000, 2, 600, 300, 0.1), (2, 7, 1500, 3, 1450, 900, 0.5), (2, 8, 10, 4, 9, 9, 0.9)], "snap int, haloid long, npart long, progid long, npart_prog long, common long, merit double")
     assert tuple(tree.merger_count(e).collect()[0]) == (2, 2, 1)
     assert tuple(tree.merger_count(e, "secondary").collect()[0]) == (2, 2, 1)
+
+
+def test_trace_through_many_snapshots(spark):
+    branch = spark.createDataFrame([(s, 7 * s, 7 * (s - 1)) for s in range(1, 101)], "snap int, haloid long, progid long")
+    start = spark.createDataFrame([(100, 700)], "snap int, haloid long")
+    for steps in (0, 1, 5, 99, 200):
+        got = sorted((r["snap"], r["progid"]) for r in tree.trace(branch, start, steps).collect())
+        assert got == [(s, 7 * s) for s in range(max(0, 100 - steps), 101)]
