@@ -10,8 +10,11 @@ compared outside neighbouring cells.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +113,20 @@ def nearest_to(halos: DataFrame, point: tuple[float, float, float], box: float =
     return halos.withColumn("d2", d2).orderBy("d2", "halo_id").limit(1)
 
 
-def nearest_more_massive(halos: DataFrame, box: float = 1.0, first: float = 0.05) -> DataFrame:
+def spacing(points: DataFrame, box: float = 1.0) -> float:
+    """The mean distance of as many points in the box, within a thousandth of it and a quarter."""
+    return min(box / 4, max(box / 1000, box * max(1, points.count()) ** (-1 / 3)))
+
+
+def nearest_more_massive(halos: DataFrame, box: float = 1.0, first: float | None = None) -> DataFrame:
     """(halo_id, other, dist): the nearest object with strictly more particles; null for the largest.
 
-    Rounds of doubling radius: an object is done once a round finds one within
-    its radius; those left at half the box diagonal have none.
+    Rounds of doubling radius from the mean spacing, so that the pairs of a
+    cell don't grow with the density: an object is done once a round finds one
+    within its radius; those left at half the box diagonal have none.
     """
-    rows = halos.select("halo_id", "npart", *AXES)
-    left, out, radius = rows, None, first
+    rows = stored(halos.select("halo_id", "npart", *AXES), "objects")
+    left, out, radius = rows, None, first or spacing(rows, box)
     while True:
         last = radius >= box * math.sqrt(3) / 2
         x = within(left, rows, radius, box).where("b_npart > npart")
@@ -138,15 +147,62 @@ def gather_radius(halos: DataFrame, most: float, box: float = 1.0) -> DataFrame:
     return x.select("halo_id", F.least(F.lit(top), F.greatest(F.col("radius"), F.coalesce(F.col("dist") / 2, F.lit(top)))).alias("gather_rad"))
 
 
+CHUNK = 1_024  #: Points of one cell that stand in one row, about.
+
+
+def _chunks(points: DataFrame, n: int, box: float, key: str) -> DataFrame:
+    """(cx, cy, cz, part, xs, ys, zs): the points of each cell, in rows of about ``CHUNK``."""
+    x = points.select(key, *AXES, *(cell(k, n, box).alias(f"c{k}") for k in AXES))
+    size = x.groupBy("cx", "cy", "cz").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("parts")).where("parts > 1")
+    x = x.join(size, ["cx", "cy", "cz"], "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(key), F.col("parts"))).otherwise(0).cast("int"))
+    row = F.collect_list(F.struct(*AXES))
+    return x.groupBy("cx", "cy", "cz", "part").agg(row.alias("p")).select("cx", "cy", "cz", "part", *(F.col(f"p.{k}").alias(f"{k}s") for k in AXES))
+
+
 def pair_histogram(points: DataFrame, r_min: float, r_max: float, bins: int, box: float = 1.0, key: str = "pid") -> DataFrame:
-    """(bin, n_pairs): unordered pairs by logarithmic separation, bins open on both sides."""
-    rows = points.select(key, *AXES)
-    x = within(rows, rows, r_max, box, closed=False).where(f"{key} < b_{key}")
+    """(bin, n_pairs): unordered pairs by logarithmic separation, bins open on both sides.
+
+    Cells meet half of the cells around them, as rows of many points, and
+    separations are counted block by block in Arrow: no row is ever a pair of
+    points. With fewer than three cells along the box all lie in one another's
+    neighbourhood and each unordered pair of cells meets once.
+    """
+    n = cells_across(r_max, box, 1 << 20)
     edges = [10 ** (math.log10(r_min) + k * (math.log10(r_max) - math.log10(r_min)) / bins) for k in range(bins + 1)]
-    which = F.lit(None).cast("int")
-    for k in range(bins - 1, -1, -1):
-        which = F.when((F.col("d2") > edges[k] ** 2) & (F.col("d2") < edges[k + 1] ** 2), F.lit(k)).otherwise(which)
-    return x.select(which.alias("bin")).where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n_pairs"))
+    squares = np.array([e**2 for e in edges])
+    rows = stored(_chunks(points, n, box, key), "cells")
+    place = lambda p: F.struct(*(F.col(f"{p}c{k}") for k in AXES), F.col(f"{p}part"))
+    a = rows.select("*", F.explode(around_cells(n)).alias("_o")).select(*(F.col(c).alias(f"a_{c}") for c in rows.columns), *(F.col(f"_o.c{k}").alias(f"c{k}") for k in AXES))
+    b = rows.select(*(F.col(c).alias(f"b_{c}") for c in rows.columns), *(F.col(f"c{k}") for k in AXES))
+    x = a.join(b, ["cx", "cy", "cz"]).where(place("a_") <= place("b_")).select(*(f"{p}_{k}s" for p in "ab" for k in AXES), (place("a_") == place("b_")).alias("same"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(bins, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, q = (np.stack([batch.column(j + o)[k].values.to_numpy() for j in range(3)]) for o in (0, 3))
+                step = max(1, (1 << 20) // max(1, q.shape[1]))
+                for at in range(0, p.shape[1], step):
+                    d2 = np.zeros((min(step, p.shape[1] - at), q.shape[1]))
+                    for axis in range(3):
+                        d = p[axis, at : at + step, None] - q[axis][None, :]
+                        d -= box * np.floor(d / box + 0.5)
+                        d2 += d * d
+                    if batch.column(6)[k].as_py():
+                        d2 = d2[np.triu(np.ones(d2.shape, bool), at + 1)]
+                    d2 = d2[(d2 > squares[0]) & (d2 < squares[-1])]
+                    which = np.searchsorted(squares, d2, side="left") - 1
+                    total += np.bincount(which[d2 < squares[which + 1]], minlength=bins)
+        yield pa.record_batch([pa.array(range(bins), pa.int32()), pa.array(total)], ["bin", "n_pairs"])
+
+    return x.mapInArrow(task, "bin int, n_pairs long").groupBy("bin").agg(F.sum("n_pairs").alias("n_pairs")).where("n_pairs > 0")
+
+
+def around_cells(n: int) -> Column:
+    """The distinct wrapped cells around (cx, cy, cz)."""
+    m = F.lit(n).cast("long")
+    shifted = [F.struct(*(F.pmod(F.col(f"c{a}") + F.lit(o), m).alias(f"c{a}") for a, o in zip(AXES, offset, strict=True))) for offset in product((-1, 0, 1), repeat=3)]
+    return F.array_distinct(F.array(*shifted))
 
 
 def correlation(points: DataFrame, r_min: float, r_max: float, bins: int, box: float = 1.0, key: str = "pid") -> DataFrame:
@@ -177,9 +233,9 @@ def nearest_parent(found: DataFrame) -> DataFrame:
     return found.groupBy("patch_id").agg(F.min(F.struct("d2", "parent_id")).alias("m")).select("patch_id", F.col("m.parent_id").alias("parent_id"))
 
 
-def orphan_parents(daughters: DataFrame, parents: DataFrame, box: float = 1.0, first: float = 0.1) -> DataFrame:
-    """(patch_id, parent_id): the nearest patch of the next coarser level, by rounds of doubling radius."""
-    left, out, radius = daughters, None, first
+def orphan_parents(daughters: DataFrame, parents: DataFrame, box: float = 1.0, first: float | None = None) -> DataFrame:
+    """(patch_id, parent_id): the nearest patch of the next coarser level, by rounds of doubling radius from the mean spacing."""
+    left, out, radius = daughters, None, first or spacing(parents, box)
     up = parents.withColumn("level", F.col("level") + 1)
     while True:
         x = within(left, up, radius, box).where("level = b_level")

@@ -58,3 +58,19 @@ def test_empty(spark):
     _, df = cloud(spark, 5, 5)
     assert spatial.within(df.limit(0), df, 0.1).count() == 0
     assert spatial.nearest_more_massive(df.limit(0).select(F.col("pid").alias("halo_id"), F.lit(1).alias("npart"), "x", "y", "z")).count() == 0
+
+
+def test_pair_counts_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    at = np.concatenate([r.random((120, 3)), 0.5 + 0.02 * r.random((80, 3)), [[0.1, 0.1, 0.1]] * 3])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "pid long, x double, y double, z double")
+    d = at[:, None] - at[None]
+    d2 = ((d - np.floor(d + 0.5)) ** 2).sum(axis=2)[np.triu_indices(len(at), 1)]
+    for lo, hi, chunk in ((0.01, 0.1, 1024), (0.01, 0.1, 7), (0.05, 0.45, 16), (0.1, 0.8, 5)):
+        monkeypatch.setattr(spatial, "CHUNK", chunk)
+        edges = [10 ** (np.log10(lo) + k * (np.log10(hi) - np.log10(lo)) / 6) for k in range(7)]
+        want = {k: n for k in range(6) if (n := int(((d2 > edges[k] ** 2) & (d2 < edges[k + 1] ** 2)).sum()))}
+        assert {x["bin"]: x["n_pairs"] for x in spatial.pair_histogram(df, lo, hi, 6).collect()} == want
+    assert spatial.pair_histogram(df.limit(0), 0.1, 0.2, 3).count() == 0
