@@ -2,7 +2,7 @@
 
 Windows partition by object and order by distance, then by the particle's
 keys, so that every result has one defined order. Per-object sequential
-steps (unbinding, peaks, tensors) are grouped Arrow functions over one
+steps (unbinding, tensors) are grouped Arrow functions over one
 object's particles; each reads a struct of plain columns.
 """
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cosmolake.operators.rounds import stored
+
 
 def by_distance(keys: list[str], halo: str = "halo_id"):
     return Window.partitionBy(halo).orderBy("d", *keys)
@@ -207,42 +209,67 @@ def unbind(members: DataFrame, keys: list[str], min_part: int = 20, v_tune: floa
 
 
 def smooth(y: np.ndarray, half: int = 1) -> np.ndarray:
-    """Running means over 2*half+1 points; the ends take what there is."""
+    """Running means over 2*half+1 points; the ends take what there is, and fewer than three points stay as they are."""
+    if len(y) < 3:
+        return y
     c = np.concatenate([[0.0], np.cumsum(y)])
     k = np.arange(len(y))
     lo, hi = np.maximum(k - half, 0), np.minimum(k + half + 1, len(y))
     return (c[hi] - c[lo]) / (hi - lo)
 
 
+def smoothed(df: DataFrame, keys: list[str], order: str, value: str, out: str, half: int = 1, rounds: int = 1) -> DataFrame:
+    """``df`` with ``out``: running means of ``value`` along ``order`` within ``keys``, ``rounds`` times, as :func:`smooth`."""
+    w = Window.partitionBy(*keys)
+    near = w.orderBy(order).rowsBetween(-half, half)
+    x = df.withColumn(out, F.col(value).cast("double"))
+    for _ in range(rounds):
+        x = x.withColumn(out, F.when(F.count(F.lit(1)).over(w) < 3, F.col(out)).otherwise(F.avg(out).over(near)))
+    return x
+
+
 def peak(x: np.ndarray, y: np.ndarray, rounds: int) -> tuple[float, float]:
-    """Place and height of a smoothed curve's maximum: the mean of those found from the left and, past its middle, from the right."""
+    """Place and height of a curve's maximum: the mean of the raw points at the maxima of the smoothed curve found from the left and, past its middle, from the right."""
     if not len(x):
         return float("nan"), float("nan")
+    raw = y
     for _ in range(rounds):
         y = smooth(y)
     left = int(y.argmax())
     half = y[(left + len(y)) // 2 :: -1]
     right = (left + len(y)) // 2 - int(half.argmax())
-    return float((x[left] + x[right]) / 2), float((y[left] + y[right]) / 2)
+    return float((x[left] + x[right]) / 2), float((raw[left] + raw[right]) / 2)
 
 
-def peaks(members: DataFrame, keys: list[str], ignore: int = 5, g: float = 1.0) -> DataFrame:
-    """(halo_id, r_max, v_max, r2): peaks of the circular velocity and of r**2 times the local density, without the innermost particles."""
+def _peak(df: DataFrame, value: str, rounds: int, place: str, height: str) -> DataFrame:
+    """(halo_id, place, height): :func:`peak` of ``value`` along the rows (halo_id, idx, d)."""
+    x = smoothed(df, ["halo_id"], "idx", value, "_s", rounds=rounds)
+    w = Window.partitionBy("halo_id")
+    x = x.withColumns({"_n": F.count(F.lit(1)).over(w), "_left": F.max(F.struct("_s", (-F.col("idx")).alias("i"))).over(w)})
+    left = -F.col("_left.i")
+    g = x.groupBy("halo_id").agg(
+        F.max(F.when(F.col("idx") == left, F.struct("d", value))).alias("a"),
+        F.max(F.when(F.col("idx") <= F.floor((left + F.col("_n")) / 2), F.struct("_s", "idx", "d", value))).alias("b"),
+    )
+    return g.select("halo_id", ((F.col("a.d") + F.col("b.d")) / 2).alias(place), ((F.col("a")[value] + F.col("b")[value]) / 2).alias(height))
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d", *keys], kind="stable")
-        d, m = pdf["d"].to_numpy(float), pdf["m"].to_numpy(float)
-        inside = np.cumsum(m)
-        ok = d > 0
-        r, v2 = d[ok][ignore:], (g * inside[ok] / d[ok])[ignore:]
-        r_max, top = peak(r, v2, 1)
-        edge = np.concatenate([[0.0], d])
-        shell = 4 * math.pi / 3 * (edge[1:] ** 3 - edge[:-1] ** 3)
-        rho = np.where(shell > 0, m / np.where(shell > 0, shell, 1.0), 0.0)
-        r2, _ = peak(d[ok][ignore:], (rho * d * d)[ok][ignore:], 3)
-        return pd.DataFrame({"halo_id": [key[0]], "r_max": [r_max], "v_max": [math.sqrt(top) if top >= 0 else float("nan")], "r2": [r2]})
-
-    return members.select(*dict.fromkeys(["halo_id", "d", "m", *keys])).groupBy("halo_id").applyInPandas(one, "halo_id long, r_max double, v_max double, r2 double")
+
+def peaks(members: DataFrame, keys: list[str], ignore: int = 5, g: float = 1.0) -> DataFrame:
+    """(halo_id, r_max, v_max, r2): peaks of the circular velocity and of r**2 times the local density, without the innermost particles; NaN where none are left."""
+    order = Window.partitionBy("halo_id").orderBy("d", *keys)
+    x = members.select(*dict.fromkeys(["halo_id", "d", "m", *keys])).withColumns({
+        "_in": F.sum(F.col("m").cast("double")).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_before": F.coalesce(F.lag("d").over(order), F.lit(0)),
+    })
+    d = F.col("d").cast("double")
+    shell = 4 * math.pi / 3 * (F.pow(d, F.lit(3)) - F.pow(F.col("_before").cast("double"), F.lit(3)))
+    x = x.where("d > 0").withColumn("idx", F.row_number().over(order) - 1 - ignore).where("idx >= 0")
+    x = x.select("halo_id", "idx", d.alias("d"), (g * F.col("_in") / d).alias("v2"), F.when(shell > 0, F.col("m") / shell * d * d).otherwise(0.0).alias("q"))
+    x = stored(x, "curves")
+    every = members.select("halo_id").distinct()
+    found = every.join(_peak(x, "v2", 1, "r_max", "_top"), "halo_id", "left").join(_peak(x, "q", 3, "r2", "_q"), "halo_id", "left")
+    nan = F.lit(float("nan"))
+    return found.select("halo_id", F.coalesce("r_max", nan).alias("r_max"), F.coalesce(F.when(F.col("_top") >= 0, F.sqrt("_top")), nan).alias("v_max"), F.coalesce("r2", nan).alias("r2"))
 
 
 def shell_dispersions(members: DataFrame, keys: list[str], min_part: int = 20) -> DataFrame:

@@ -139,9 +139,22 @@ def _unbinding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unbind(x, KEYS).groupBy("halo_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("m"), 2).alias("mass"))
 
 
-@query("profile_peaks")
+#: Smoothed curves by idx; the last maximum up to the middle between the first one and the end is the one from the right.
+PEAKS = f"""{MEMBERS},
+ a AS (SELECT *, row_number() OVER w AS rn, sum(m::DOUBLE) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m_in, coalesce(lag(d) OVER w, 0) AS b FROM memb WINDOW w AS ({ORDER})),
+ c AS (SELECT halo_id, row_number() OVER (PARTITION BY halo_id ORDER BY rn) - 6 AS idx, d, m_in / d AS v2, CASE WHEN d > b THEN m / ({PI43} * (d * d * d - b * b * b)) * d * d ELSE 0 END AS q FROM a WHERE d > 0),
+ e AS (SELECT *, count(*) OVER (PARTITION BY halo_id) AS n FROM c WHERE idx >= 0),
+ s1 AS (SELECT *, CASE WHEN n < 3 THEN v2 ELSE avg(v2) OVER z END AS sv, CASE WHEN n < 3 THEN q ELSE avg(q) OVER z END AS q1 FROM e WINDOW z AS (PARTITION BY halo_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ s2 AS (SELECT *, CASE WHEN n < 3 THEN q1 ELSE avg(q1) OVER z END AS q2 FROM s1 WINDOW z AS (PARTITION BY halo_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ s3 AS (SELECT *, CASE WHEN n < 3 THEN q2 ELSE avg(q2) OVER z END AS q3 FROM s2 WINDOW z AS (PARTITION BY halo_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ l AS (SELECT *, first_value(idx) OVER (PARTITION BY halo_id ORDER BY sv DESC, idx) AS lv, first_value(idx) OVER (PARTITION BY halo_id ORDER BY q3 DESC, idx) AS lq FROM s3),
+ r AS (SELECT *, row_number() OVER (PARTITION BY halo_id ORDER BY CASE WHEN idx <= (lv + n) // 2 THEN 0 ELSE 1 END, sv DESC, idx DESC) AS kv,
+              row_number() OVER (PARTITION BY halo_id ORDER BY CASE WHEN idx <= (lq + n) // 2 THEN 0 ELSE 1 END, q3 DESC, idx DESC) AS kq FROM l)"""
+
+
+@query("profile_peaks", f"WITH {PEAKS} SELECT halo_id, round((max(d) FILTER (WHERE idx = lv) + max(d) FILTER (WHERE kv = 1)) / 2, 6) AS r_max, round(sqrt((max(v2) FILTER (WHERE idx = lv) + max(v2) FILTER (WHERE kv = 1)) / 2), 6) AS v_max, round((max(d) FILTER (WHERE idx = lq) + max(d) FILTER (WHERE kq = 1)) / 2, 6) AS r2 FROM r GROUP BY halo_id")
 def _peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.peaks(sized(spark, sf_dir), KEYS)
+    return p.peaks(sized(spark, sf_dir), KEYS).select("halo_id", *(F.round(c, 6).alias(c) for c in ("r_max", "v_max", "r2")))
 
 
 @query("halo_shapes")
@@ -188,8 +201,9 @@ def _r1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("smoothed_profile", f"WITH {BINS} SELECT halo_id, bin, round(avg(m_in_r) OVER (PARTITION BY halo_id ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 5) AS smooth3, round(avg(m_in_r) OVER (PARTITION BY halo_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS smooth5 FROM prof")
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = p.Window.partitionBy("halo_id").orderBy("bin")
-    return p.profile(sized(spark, sf_dir), KEYS).select("halo_id", "bin", F.round(F.avg("m_in_r").over(w.rowsBetween(-1, 1)), 5).alias("smooth3"), F.round(F.avg("m_in_r").over(w.rowsBetween(-2, 2)), 5).alias("smooth5"))
+    x = p.smoothed(p.profile(sized(spark, sf_dir), KEYS), ["halo_id"], "bin", "m_in_r", "smooth3")
+    x = p.smoothed(x, ["halo_id"], "bin", "m_in_r", "smooth5", half=2)
+    return x.select("halo_id", "bin", *(F.round(c, 5).alias(c) for c in ("smooth3", "smooth5")))
 
 
 @query("profiles_of_listed_halos", f"WITH {BINS} SELECT halo_id, bin, round(r, 6) AS r, npart::BIGINT AS npart FROM prof WHERE halo_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")

@@ -123,3 +123,28 @@ def test_empty_and_single(spark):
     assert prefix.potential(none, ["pid"]).count() == 0 and prefix.profile(none, ["pid"]).count() == 0 and prefix.unbind(none, ["pid"]).count() == 0
     one = members(spark, [(1, 1, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, None)])
     assert prefix.potential(one, ["pid"]).count() == 1 and prefix.profile(one, ["pid"]).count() == 1 and prefix.virial_cut(one, ["pid"], 200).count() == 1
+
+
+def test_peaks_equal_the_curve_by_curve_version(spark):
+    r = np.random.default_rng(9)
+    rows = [(h, k, float(d), float(m)) for h, n in ((1, 60), (2, 7), (3, 3), (4, 6)) for k, (d, m) in enumerate(zip(np.sort(r.random(n)), r.random(n) + 0.5, strict=True))]
+    got = {x["halo_id"]: x for x in prefix.peaks(spark.createDataFrame(rows, "halo_id long, pid long, d double, m double"), ["pid"]).collect()}
+    for h in (1, 2, 3, 4):
+        d, m = (np.array([x[c] for x in rows if x[0] == h]) for c in (2, 3))
+        edge = np.concatenate([[0.0], d])
+        q = m / (4 * np.pi / 3 * (edge[1:] ** 3 - edge[:-1] ** 3)) * d * d
+        at, top = prefix.peak(d[5:], (np.cumsum(m) / d)[5:], 1)
+        want = (at, np.sqrt(top), prefix.peak(d[5:], q[5:], 3)[0])
+        assert np.allclose([got[h][c] for c in ("r_max", "v_max", "r2")], want, equal_nan=True)
+    assert np.allclose(prefix.smooth(np.array([1.0, 5.0])), [1.0, 5.0])
+    assert prefix.peak(np.array([1.0, 2, 3, 4]), np.array([1.0, 8, 2, 1]), 1) == (1.0, 1.0)  # the raw height where the smoothed curve [4.5, 3.7, 3.7, 1.5] is highest
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cosmolake.operators import rounds
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        rounds.folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:1")), "x")
