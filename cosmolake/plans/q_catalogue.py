@@ -183,9 +183,9 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.positions_of(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v")), part, "v").groupBy("v", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("first_owner_dedup", f"WITH {MEMBERSHIP}, m AS (SELECT halo_id, pid FROM mem WHERE snap = 1998), s AS (SELECT halo_id, count(*) AS n FROM m GROUP BY halo_id), r AS (SELECT m.halo_id, pid, row_number() OVER (PARTITION BY pid ORDER BY n, m.halo_id) AS k FROM m JOIN s USING (halo_id)) SELECT halo_id, pid FROM r WHERE k = 1")
+@query("first_owner_dedup", f"WITH {MEMBERSHIP}, m AS (SELECT snap * 100 + halo_id AS halo_id, pid FROM mem), s AS (SELECT halo_id, count(*) AS n FROM m GROUP BY halo_id), r AS (SELECT m.halo_id, pid, row_number() OVER (PARTITION BY pid ORDER BY n, m.halo_id) AS k FROM m JOIN s USING (halo_id)) SELECT halo_id, pid FROM r WHERE k = 1")
 def _owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.first_owner(membership(spark, sf_dir).where("snap = 1998").select("halo_id", "pid"))
+    return c.first_owner(membership(spark, sf_dir).select((F.col("snap") * 100 + F.col("halo_id")).alias("halo_id"), "pid"))
 
 
 @query("distinct_particles", f"WITH {MEMBERSHIP} SELECT DISTINCT pid FROM mem")
@@ -209,10 +209,11 @@ def _nodup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.without_duplicates(membership(spark, sf_dir).where("snap = 1999"), 5)
 
 
-@query("difference_by_halo", f"WITH {MEMBERSHIP} SELECT halo_id, pid FROM mem WHERE snap = 1998 EXCEPT SELECT halo_id, pid FROM mem WHERE snap = 1997")
+@query("difference_by_halo", f"WITH {MEMBERSHIP} SELECT snap * 100 + halo_id AS halo_id, pid FROM mem EXCEPT SELECT (snap + 1) * 100 + halo_id, pid FROM mem")
 def _difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = membership(spark, sf_dir)
-    return c.difference_by_halo(m.where("snap = 1998").select("halo_id", "pid"), m.where("snap = 1997").select("halo_id", "pid"))
+    at = lambda later: m.select(((F.col("snap") + later) * 100 + F.col("halo_id")).alias("halo_id"), "pid")
+    return c.difference_by_halo(at(0), at(1))
 
 
 CLOSURE = f"""WITH RECURSIVE {POINTS}, {HALOS},

@@ -50,10 +50,10 @@ def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8))
 
 
-@query("halo_particle_densities", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid % 10 AS halo_id, pid, dens FROM q WHERE pid % 3 = 0")
+@query("halo_particle_densities", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid % 10 AS halo_id, pid, dens FROM q")
 def _halo_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    m = p.where("pid % 3 = 0").select((F.col("pid") % 10).alias("halo_id"), "pid")
+    m = p.select((F.col("pid") % 10).alias("halo_id"), "pid")
     return catalogue.with_densities(m, grid.density_at(p, 8).withColumn("dens", F.round("dens", 8))).select("halo_id", "pid", "dens")
 
 
@@ -62,9 +62,9 @@ def _hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("pid", grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 6).alias("key"))
 
 
-@query("density_order", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid, dens FROM q ORDER BY dens DESC, pid LIMIT 50")
+@query("density_order", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid, dens FROM q")
 def _density_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8)).orderBy(F.desc("dens"), "pid").limit(50)
+    return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8)).orderBy(F.desc("dens"), "pid")
 
 
 REFINE = f"""{POINTS}, c0 AS (SELECT floor(x * 8)::BIGINT AS ix, floor(y * 8)::BIGINT AS iy, floor(z * 8)::BIGINT AS iz FROM pts GROUP BY ALL HAVING count(*) >= 4),
@@ -117,7 +117,7 @@ def _speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.speed_histogram(points(spark, sf_dir), 0.0, 0.5, 10).select("bin", "n", F.round("density", 9).alias("density"))
 
 
-SIGMA_H = f"""{POINTS}, {HALOS}, ob AS (SELECT halo_id AS observer, x, y, z, vx, vy, vz FROM halos WHERE halo_id % 4 = 0), b AS (SELECT x AS b_x, y AS b_y, z AS b_z, vx AS b_vx, vy AS b_vy, vz AS b_vz FROM halos),
+SIGMA_H = f"""{POINTS}, {HALOS}, ob AS (SELECT halo_id AS observer, x, y, z, vx, vy, vz FROM halos), b AS (SELECT x AS b_x, y AS b_y, z AS b_z, vx AS b_vx, vy AS b_vy, vz AS b_vz FROM halos),
  c AS (SELECT observer, {d2('', 'b_')} AS q, (b_vx - vx) * ((b_x - x) - floor((b_x - x) + 0.5)) + (b_vy - vy) * ((b_y - y) - floor((b_y - y) + 0.5)) + (b_vz - vz) * ((b_z - z) - floor((b_z - z) + 0.5)) AS l FROM ob, b),
  sp AS (SELECT unnest([1, 2]) AS sphere),
  h AS (SELECT observer, sphere, avg(100 + l / q) AS h_los, count(*) AS n FROM c, sp WHERE q > 0 AND q <= (0.1::DOUBLE * sphere) * (0.1::DOUBLE * sphere) GROUP BY ALL)"""
@@ -125,7 +125,7 @@ SIGMA_H = f"""{POINTS}, {HALOS}, ob AS (SELECT halo_id AS observer, x, y, z, vx,
 
 def _scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = halos(spark, sf_dir)
-    observers = h.where("halo_id % 4 = 0").select(F.col("halo_id").alias("observer"), "x", "y", "z", "vx", "vy", "vz")
+    observers = h.select(F.col("halo_id").alias("observer"), "x", "y", "z", "vx", "vy", "vz")
     return stats.expansion_scatter(observers, h.select("x", "y", "z", "vx", "vy", "vz"), 0.2, spheres=2)
 
 

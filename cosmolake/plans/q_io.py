@@ -24,10 +24,10 @@ def _halos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.catalogue_text(spark, path, ["halo_id", "host_id", "npart", "x"], ("halo_id", "host_id", "npart")).withColumn("x", F.round("x", 12))
 
 
-@query("particles_round_trip", f"WITH {MEMBERSHIP}, m AS (SELECT * FROM mem WHERE snap = 1998) SELECT halo_id, count(*) OVER (PARTITION BY halo_id) AS npart, pid, 1 AS ptype FROM m")
+@query("particles_round_trip", f"WITH {MEMBERSHIP}, m AS (SELECT snap * 100 + halo_id AS halo_id, pid FROM mem) SELECT halo_id, count(*) OVER (PARTITION BY halo_id) AS npart, pid, 1 AS ptype FROM m")
 def _particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "particles-text")
-    sinks.particles_text(membership(spark, sf_dir).where("snap = 1998").withColumn("ptype", F.lit(1)), path)
+    sinks.particles_text(membership(spark, sf_dir).select((F.col("snap") * 100 + F.col("halo_id")).alias("halo_id"), "pid", F.lit(1).alias("ptype")), path)
     return text.memberships(spark, path, whole=True).drop("file")
 
 
@@ -39,17 +39,23 @@ def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.star_particles(spark, path, whole=True).select("halo_id", "pid", "mass", F.round("age", 9).alias("age"))
 
 
-@query("tree_round_trip", f"WITH {EDGES} SELECT haloid, npart, rank::INT AS rank, progid, npart_prog, common, round(merit, 9) AS merit FROM ranked WHERE snap = 1998")
+def _serial(e: DataFrame) -> DataFrame:
+    """Ranked edges of all snapshots, with ids that say their snapshot."""
+    r = tree.ranked(e)
+    return r.withColumns({"haloid": F.col("snap") * 100 + F.col("haloid"), "progid": (F.col("snap") - 1) * 100 + F.col("progid")})
+
+
+@query("tree_round_trip", f"WITH {EDGES} SELECT snap * 100 + haloid AS haloid, npart, rank::INT AS rank, (snap - 1) * 100 + progid AS progid, npart_prog, common, round(merit, 9) AS merit FROM ranked")
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tree-text")
-    sinks.tree_text(tree.ranked(edges(spark, sf_dir).where("snap = 1998")), path)
+    sinks.tree_text(_serial(edges(spark, sf_dir)), path)
     return text.tree_croco(spark, f"{path}/croco", whole=True).drop("file").withColumn("merit", F.round("merit", 9))
 
 
-@query("tree_index_round_trip", f"WITH {EDGES} SELECT haloid, progid FROM best WHERE snap = 1998")
+@query("tree_index_round_trip", f"WITH {EDGES} SELECT snap * 100 + haloid AS haloid, (snap - 1) * 100 + progid AS progid FROM best")
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "tree-text")
-    sinks.tree_text(tree.ranked(edges(spark, sf_dir).where("snap = 1998")), path)
+    sinks.tree_text(_serial(edges(spark, sf_dir)), path)
     return text.tree_index(spark, f"{path}/mtree_idx")
 
 

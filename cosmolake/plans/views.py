@@ -41,9 +41,9 @@ POINTS = """pts AS (SELECT vec_id AS pid, (embedding[1]::DOUBLE + 1) / 2 AS x, (
 
 
 def halos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(halo_id, host_id, npart, mass, radius, x, y, z, vx, vy, vz): every fifth point is an object; hosts come before their subs."""
-    p = points(spark, sf_dir).where("pid % 5 = 0")
-    idx = (F.col("pid") / 5).cast("long")
+    """(halo_id, host_id, npart, mass, radius, x, y, z, vx, vy, vz): every point is an object; hosts come before their subs."""
+    p = points(spark, sf_dir)
+    idx = F.col("pid").cast("long")
     host = F.when(idx % 4 == 0, F.lit(-1)).otherwise(F.floor(idx / 2).cast("long"))
     return p.select(
         idx.alias("halo_id"), host.alias("host_id"), ((F.lit(7919) * (idx + 1)) % 1000 + 20).cast("long").alias("npart"),
@@ -51,9 +51,9 @@ def halos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-HALOS = """halos AS (SELECT pid // 5 AS halo_id, CASE WHEN (pid // 5) % 4 = 0 THEN -1 ELSE (pid // 5) // 2 END AS host_id,
-  (7919 * (pid // 5 + 1)) % 1000 + 20 AS npart, ((7919 * (pid // 5 + 1)) % 1000 + 20) * mass AS mass, 0.02::DOUBLE + 0.005::DOUBLE * ((pid // 5) % 10) AS radius,
-  x, y, z, vx, vy, vz FROM pts WHERE pid % 5 = 0)"""
+HALOS = """halos AS (SELECT pid::BIGINT AS halo_id, CASE WHEN pid % 4 = 0 THEN -1 ELSE pid // 2 END AS host_id,
+  (7919 * (pid + 1)) % 1000 + 20 AS npart, ((7919 * (pid + 1)) % 1000 + 20) * mass AS mass, 0.02::DOUBLE + 0.005::DOUBLE * (pid % 10) AS radius,
+  x, y, z, vx, vy, vz FROM pts)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
