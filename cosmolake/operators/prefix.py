@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cosmolake.functions import halo_math
 from cosmolake.operators.rounds import stored
 
 
@@ -135,10 +136,43 @@ def integrals(members: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy("halo_id").agg(*cols)
 
 
+PAIRS = ("xx", "yy", "zz", "xy", "yz", "xz")
+
+
+def full_profile(members: DataFrame, keys: list[str], min_part: int = 20, g: float = 1.0, hubble: float = 0.0, sums: dict[str, Column] | None = None) -> DataFrame:
+    """:func:`profile` with escape velocity, dispersion, angular momentum, axes and energies of each bin's sphere.
+
+    ``v_esc`` is the outermost particle's. Energies are halved sums of mass
+    times u**2 and of mass times phi - phi0 (times ``g``), u being the velocity
+    against the prefix mean plus ``hubble`` times the offset; angular momentum
+    goes without the latter. ``b``, ``c`` and the axes ``e1`` to ``e3`` are of
+    the mass tensor. ``sums`` names further columns, sums of an expression over
+    each sphere's particles (mass of one species, say).
+    """
+    x = binned(prefix_velocity(potential(members, keys), keys), keys, min_part)
+    m, depth = F.col("m"), g * (F.col("phi") - F.col("phi0"))
+    u2 = sum(((F.col(f"u_{k}") + hubble * F.col(f"d{k}")) ** 2 for k in "xyz"), F.lit(0.0))
+    cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    total = {"npart": F.lit(1), "m_in_r": m, "_t": m * u2, "_w": m * depth}
+    total |= {f"l_{k}": m * (F.col(f"d{p}") * F.col(f"u_{q}") - F.col(f"d{q}") * F.col(f"u_{p}")) for k, (p, q) in cross.items()}
+    total |= {f"_t_{q}": m * F.col(f"d{q[0]}") * F.col(f"d{q[1]}") for q in PAIRS} | (sums or {})
+    b = x.groupBy("halo_id", "bin").agg(F.first("r_edge").alias("r"), F.sum("m").alias("_m"), F.sqrt(2 * F.abs(F.max_by(depth, "rn"))).alias("v_esc"), *(F.sum(c).alias(k) for k, c in total.items()))
+    w = Window.partitionBy("halo_id").orderBy("bin")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = b.withColumns({"_r": F.coalesce(F.lag("r").over(w), F.lit(0.0)), **{k: F.sum(k).over(run) for k in total}})
+    x = x.withColumn("_s", halo_math.shape(*(F.col(f"_t_{q}") for q in PAIRS), F.col("npart")))
+    volume = lambda r: 4 * math.pi / 3 * r * r * r
+    return x.select(
+        "halo_id", "bin", "r", "npart", "m_in_r", F.try_divide("m_in_r", volume(F.col("r"))).alias("ovdens"), F.try_divide("_m", volume(F.col("r")) - volume(F.col("_r"))).alias("dens"),
+        F.sqrt(F.try_divide(g * F.col("m_in_r"), "r")).alias("v_circ"), "v_esc", F.sqrt(F.try_divide("_t", "m_in_r")).alias("sig_v"), "l_x", "l_y", "l_z",
+        "_s.b", "_s.c", "_s.e1", "_s.e2", "_s.e3", (0.5 * F.col("_t")).alias("e_kin"), (0.5 * F.col("_w")).alias("e_pot"), *(sums or {}),
+    )
+
+
 def most_bound(members: DataFrame, keys: list[str]) -> DataFrame:
-    """(halo_id, and the keys of the particle of least energy): kinetic energy against the prefix mean plus phi - phi0."""
+    """(halo_id, and the keys of the particle of least energy): mass times kinetic energy against the prefix mean plus phi - phi0."""
     x = prefix_velocity(potential(members, keys), keys)
-    e = 0.5 * (F.col("u_x") ** 2 + F.col("u_y") ** 2 + F.col("u_z") ** 2) + F.col("phi") - F.col("phi0")
+    e = F.col("m") * (0.5 * (F.col("u_x") ** 2 + F.col("u_y") ** 2 + F.col("u_z") ** 2) + F.col("phi") - F.col("phi0"))
     return x.withColumn("_e", e).groupBy("halo_id").agg(F.min_by(F.struct(*keys), F.struct("_e", *keys)).alias("mbp")).select("halo_id", "mbp.*")
 
 

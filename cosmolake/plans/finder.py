@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cosmolake.functions import halo_math
 from cosmolake.functions.expr import pbc
 from cosmolake.operators import grid, prefix, spatial
 from cosmolake.operators.catalogue import credible_hosts, ordered
@@ -61,8 +62,13 @@ def patch_tree(placed: DataFrame, n: int, s: Settings) -> tuple[DataFrame, DataF
 def find_halos(particles: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(halos, members, profiles) of particles (pid, x, y, z, vx, vy, vz, mass, ptype, u) in the periodic unit box.
 
-    halos: halo_id by size, host_id, npart, mass, radius, centre, velocity,
-    v_max, r_max, shape, spin. members: (halo_id, pid, d, m, ptype).
+    halos: idx by size, halo_id, host_id, num_sub, npart, n_bins, mass, radius,
+    centre, mean velocity, r_max, v_max, r2, offsets of the most bound particle
+    and of the centre of mass, overdensity, escape velocity, dispersion, angular
+    momentum and its two spins, axis ratios and axes, energies, surface
+    pressure, phi0, c_nfw, and number and mass of gas and stars. members:
+    (halo_id, pid, d, m, ptype). profiles: :func:`prefix.full_profile`, radii
+    negated up to the last unconverged one.
     """
     p = particles if "u" in particles.columns else particles.withColumn("u", F.lit(None).cast("double"))
     placed = stored(grid.patches(grid.hierarchy(p, s.grid, s.per_cell, s.max_level), s.grid), "placed")
@@ -90,9 +96,33 @@ def find_halos(particles: DataFrame, s: Settings = Settings()) -> tuple[DataFram
     size = m.groupBy("halo_id").agg(F.count(F.lit(1)).alias("npart"), F.max("d").alias("radius"))
     size = stored(size.where(F.col("npart") >= s.min_part), "sizes")
     m = m.join(size.select("halo_id"), "halo_id", "left_semi")
-    sums = prefix.integrals(m, ["pid"])
-    top = prefix.peaks(m, ["pid"], g=s.gravity)
+    kinds = {"gas": F.col("ptype") == 0, "star": F.col("ptype") == 4}
+    by_kind = {f"{a}_{k}": F.when(is_, v).otherwise(0) for k, is_ in kinds.items() for a, v in (("n", F.lit(1)), ("m", F.col("m")))}
+    prof = stored(prefix.full_profile(m, ["pid"], s.min_part, s.gravity, s.hubble, by_kind), "profiles")
     pos = centre.select("halo_id", "host_id", *AXES).join(size, "halo_id")
-    hosts = credible_hosts(pos, s.min_part, s.overlap)
-    x = pos.drop("host_id").join(hosts, "halo_id").join(sums.drop("n"), "halo_id").join(top, "halo_id")
-    return ordered(x, "npart"), m, prefix.convergence_radius(prefix.profile(m, ["pid"], s.min_part, s.gravity))
+    hosts = stored(credible_hosts(pos, s.min_part, s.overlap), "hosts")
+    subs = hosts.where("host_id >= 0").groupBy(F.col("host_id").alias("halo_id")).agg(F.count(F.lit(1)).alias("num_sub"))
+    x = pos.drop("host_id").join(hosts, "halo_id").join(subs, "halo_id", "left").withColumn("num_sub", F.coalesce("num_sub", F.lit(0).cast("long")))
+    x = x.join(whole_objects(m, prof, s), "halo_id").join(prefix.peaks(m, ["pid"], g=s.gravity), "halo_id")
+    x = x.withColumn("c_nfw", halo_math.c_nfw(F.try_divide(F.col("v_max") * F.col("v_max") * F.col("radius"), s.gravity * F.col("mass"))))
+    return ordered(x, "npart"), m, prefix.convergence_radius(prof)
+
+
+def whole_objects(m: DataFrame, prof: DataFrame, s: Settings) -> DataFrame:
+    """(halo_id, and what members and the outermost sphere of the profile say about an object as a whole)."""
+    w = Window.partitionBy("halo_id").orderBy("bin")
+    inner = {"_k": F.lag("e_kin").over(w), "_r": F.lag("r").over(w)}
+    outer = [c for c in prof.columns if c not in ("halo_id", "bin", "npart", "m_in_r", "dens", "v_circ")]
+    last = prof.withColumns(inner).groupBy("halo_id").agg(F.count(F.lit(1)).alias("n_bins"), F.max_by(F.struct(*outer, "_k", "_r"), "bin").alias("e"))
+    last = last.select("halo_id", "n_bins", "e.*")
+    sums = prefix.integrals(m, ["pid"]).select("halo_id", "mass", *(f"vel_{k}" for k in AXES), F.sqrt(sum((F.col(f"com_{k}") ** 2 for k in AXES), F.lit(0.0))).alias("com_offset"))
+    bound = prefix.most_bound(m, ["pid"]).join(m.select("halo_id", "pid", F.col("d").alias("mbp_offset")), ["halo_id", "pid"]).drop("pid")
+    phi0 = prefix.potential(m, ["pid"]).groupBy("halo_id").agg((s.gravity * F.first("phi0")).alias("phi0"))
+    x = last.join(sums, "halo_id").join(bound, "halo_id").join(phi0, "halo_id")
+    l = F.sqrt(F.col("l_x") ** 2 + F.col("l_y") ** 2 + F.col("l_z") ** 2)  # noqa: E741
+    x = x.withColumns({
+        "spin": halo_math.spin(l, F.col("mass"), F.col("r"), s.gravity**-0.5),
+        "spin_e": halo_math.energy_spin(l, F.col("mass"), F.col("e_kin") + F.col("e_pot"), s.gravity),
+        "surf_p": halo_math.surface_pressure(F.col("e_kin"), F.col("_k"), F.col("r"), F.col("_r")),
+    })
+    return x.drop("r", "_k", "_r")

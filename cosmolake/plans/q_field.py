@@ -76,7 +76,20 @@ def _mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.to_refine(grid.cell_counts(points(spark, sf_dir), 8), 8, 4)
 
 
-@query("refinement_hierarchy")
+def _levels_sql(n: int, threshold: int, levels: int) -> str:
+    """Levels of refined cells, each from the particles of the one above."""
+    parts = [POINTS, "p0 AS (SELECT pid, x, y, z FROM pts)", "off AS (SELECT a, b, c FROM (SELECT unnest([0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c))"]
+    for k in range(levels):
+        size = n << k
+        wrap = lambda i, o: f"(i{i} - {o} + {size}) % {size} AS i{i}"  # noqa: E731, B023
+        parts.append(f"c{k} AS MATERIALIZED (SELECT pid, x, y, z, floor(x * {size})::BIGINT AS ix, floor(y * {size})::BIGINT AS iy, floor(z * {size})::BIGINT AS iz FROM p{k})")
+        parts.append(f"h{k} AS (SELECT DISTINCT {wrap('x', 'a')}, {wrap('y', 'b')}, {wrap('z', 'c')} FROM (SELECT ix, iy, iz FROM c{k} GROUP BY ALL HAVING count(*) >= {threshold}), off)")
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT c{k}.* FROM c{k} JOIN h{k} USING (ix, iy, iz))")
+    each = " UNION ALL ".join(f"SELECT {k}::INT AS level, count(DISTINCT (ix, iy, iz)) AS n_cells, count(*) AS n_parts FROM p{k + 1} HAVING count(*) > 0" for k in range(levels))
+    return f"WITH {', '.join(parts)} {each}"
+
+
+@query("refinement_hierarchy", _levels_sql(8, 4, 12))
 def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.hierarchy(points(spark, sf_dir), 8, 4).groupBy("level").agg(F.count_distinct("ix", "iy", "iz").alias("n_cells"), F.count(F.lit(1)).alias("n_parts"))
 

@@ -99,6 +99,22 @@ def _convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.convergence_radius(p.profile(sized(spark, sf_dir), KEYS)).select("halo_id", "bin", F.round("r", 6).alias("r"))
 
 
+#: The same bins and potential over moving members.
+KINEMATICS = MOVING + BINS.removeprefix(MEMBERS).replace("FROM memb", "FROM pv") + """,
+ kin AS (SELECT *, last_value(phi) OVER e + last_value(m_in / d) OVER e AS phi0 FROM bn WINDOW e AS (PARTITION BY halo_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+RUNNING = "WINDOW q AS (PARTITION BY halo_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query("full_radial_profile", f"WITH {KINEMATICS}, kb AS (SELECT halo_id, bin, any_value(r) AS r, count(*) AS n, sum(m) AS mass, arg_max(phi - phi0, rn) AS up, sum(m * (ux * ux + uy * uy + uz * uz)) AS t, sum(m * (phi - phi0)) AS w, sum(m * (dy * uz - dz * uy)) AS lx, sum(m * (dz * ux - dx * uz)) AS ly, sum(m * (dx * uy - dy * ux)) AS lz, sum(CASE WHEN species = 'R' THEN m ELSE 0 END) AS mr FROM (SELECT *, power(10, log10(lo) + bin * w) AS r FROM kin) GROUP BY halo_id, bin) SELECT halo_id, bin, round(r, 6) AS r, (sum(n) OVER q)::BIGINT AS npart, round(sum(mass) OVER q, 2) AS m_in_r, round(sqrt(2 * abs(up)), 3) AS v_esc, round(sqrt(sum(t) OVER q / sum(mass) OVER q), 7) AS sig_v, round(sum(lx) OVER q / sum(mass) OVER q, 6) AS l_x, round(sum(ly) OVER q / sum(mass) OVER q, 6) AS l_y, round(sum(lz) OVER q / sum(mass) OVER q, 6) AS l_z, round(0.5 * sum(t) OVER q / sum(mass) OVER q, 7) AS e_kin, round(0.5 * sum(w) OVER q / sum(mass) OVER q / 1000, 4) AS e_pot, round(sum(mr) OVER q, 2) AS m_r FROM kb {RUNNING}")
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = p.full_profile(moving(spark, sf_dir), KEYS, sums={"m_r": F.when(F.col("species") == "R", F.col("m")).otherwise(0.0)})
+    per = lambda c: F.col(c) / F.col("m_in_r")
+    return x.select(
+        "halo_id", "bin", F.round("r", 6).alias("r"), "npart", F.round("m_in_r", 2).alias("m_in_r"), F.round("v_esc", 3).alias("v_esc"), F.round("sig_v", 7).alias("sig_v"),
+        *(F.round(per(f"l_{k}"), 6).alias(f"l_{k}") for k in "xyz"), F.round(per("e_kin"), 7).alias("e_kin"), F.round(per("e_pot") / 1000, 4).alias("e_pot"), F.round("m_r", 2).alias("m_r"),
+    )
+
+
 @query("halo_integrals", f"WITH {MOVING} SELECT halo_id, count(*) AS n, round(sum(m), 2) AS mass, round(sum(m * vx) / sum(m), 8) AS vel_x, round(sum(m * dz) / sum(m), 7) AS com_z, round(sum(m * (dx * uy - dy * ux)) / sum(m), 6) AS l_z, round(sum(m * dx * dy) / sum(m), 5) AS t_xy, round(0.5 * sum(m * (ux * ux + uy * uy + uz * uz)) / sum(m), 7) AS e_kin, round(sqrt(sum(m * (ux * ux + uy * uy + uz * uz)) / sum(m)), 7) AS sig_v FROM pv GROUP BY halo_id")
 def _integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p.integrals(moving(spark, sf_dir), KEYS)
@@ -112,25 +128,25 @@ def _species(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moving(spark, sf_dir).groupBy("halo_id", "species").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(m), 2).alias("mass"), F.round(F.sum(m * F.col("vx")) / F.sum(m), 8).alias("vel_x"), F.round(F.avg("d"), 7).alias("mean_d"))
 
 
-@query("most_bound_particle")
+@query("most_bound_particle", f"WITH {KINEMATICS}, e AS (SELECT *, m * (0.5 * (ux * ux + uy * uy + uz * uz) + phi - phi0) AS energy FROM kin) SELECT halo_id, oid, lno, part, m FROM e QUALIFY row_number() OVER (PARTITION BY halo_id ORDER BY energy, oid, lno, part, m) = 1")
 def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.most_bound(moving(spark, sf_dir), KEYS)
 
 
-@query("shell_dispersions")
+@query("shell_dispersions", f"WITH {KINEMATICS}, v AS (SELECT *, (dx * vx + dy * vy + dz * vz) / d AS vr, vx * vx + vy * vy + vz * vz AS v2 FROM bn WHERE d > 0) SELECT halo_id, bin, count(*) AS n, round(avg(vr), 7) AS mean_r, round(stddev_samp(vr), 6) AS sig_r, round(stddev_samp(sqrt(greatest(v2 - vr * vr, 0))), 6) AS sig_t FROM v GROUP BY halo_id, bin")
 def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p.shell_dispersions(moving(spark, sf_dir), KEYS)
     return x.select("halo_id", "bin", "n", F.round("mean_r", 7).alias("mean_r"), F.round("sig_r", 6).alias("sig_r"), F.round("sig_t", 6).alias("sig_t"))
 
 
-@query("disk_kappa")
+@query("disk_kappa", f"WITH {KINEMATICS}, j AS (SELECT *, dy * vz - dz * vy AS jx, dz * vx - dx * vz AS jy, dx * vy - dy * vx AS jz FROM bn WHERE d > 0), per AS (SELECT halo_id, bin, sum(m * jx) AS lx, sum(m * jy) AS ly, sum(m * jz) AS lz FROM j GROUP BY halo_id, bin), ax AS (SELECT halo_id, bin, sum(lx) OVER q AS lx, sum(ly) OVER q AS ly, sum(lz) OVER q AS lz FROM per {RUNNING}), k AS (SELECT halo_id, bin, sum(0.5 * m * power((jx * lx + jy * ly + jz * lz) / sqrt(lx * lx + ly * ly + lz * lz) / d, 2)) AS rot, sum(0.5 * m * (vx * vx + vy * vy + vz * vz)) AS kin FROM j JOIN ax USING (halo_id, bin) GROUP BY halo_id, bin) SELECT halo_id, bin, round(sum(rot) OVER q / sum(kin) OVER q, 8) AS kappa FROM k {RUNNING}")
 def _kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.disk_kappa(moving(spark, sf_dir), KEYS).withColumn("kappa", F.round("kappa", 8))
 
 
-@query("density_upturn")
+@query("density_upturn", f"WITH {BINS}, u AS (SELECT *, coalesce(mass / (r * r * r - r0 * r0 * r0) > lag(mass / (r * r * r - r0 * r0 * r0)) OVER (PARTITION BY halo_id ORDER BY bin), false) AS up FROM prof), gr AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY halo_id ORDER BY bin) AS run FROM u), k AS (SELECT *, sum(up::INT) OVER (PARTITION BY halo_id, run ORDER BY bin) AS k FROM gr) SELECT halo_id, round(min(r) FILTER (WHERE k > 1), 6) AS r_edge FROM k GROUP BY halo_id")
 def _upturn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.density_upturn(p.profile(sized(spark, sf_dir), KEYS), most=1)
+    return p.density_upturn(p.profile(sized(spark, sf_dir), KEYS), most=1).select("halo_id", F.round("r_edge", 6).alias("r_edge"))
 
 
 @query("unbinding")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cosmolake.operators import prefix
 
@@ -148,3 +149,41 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(ValueError, match="checkpoint"):
         rounds.folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:1")), "x")
+
+
+def test_full_profile_equals_the_loop(spark):
+    rows = ball(300, seed=3)
+    rows = [(h, k, d, 1.0 + k % 3, *rest) for h, k, d, _, *rest in rows]
+    got = prefix.full_profile(members(spark, rows), ["pid"], hubble=0.5, sums={"odd": F.when(F.col("pid") % 2 == 1, F.col("m"))}).orderBy("bin").collect()
+    d, m = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    x, v = np.array([r[4:7] for r in rows]), np.array([r[7:10] for r in rows])
+    phi, phi0 = slow_potential(d, m)
+    u = v - np.cumsum(m[:, None] * v, axis=0) / np.cumsum(m)[:, None]
+    kin = m * ((u + 0.5 * x) ** 2).sum(axis=1)
+    spin = m[:, None] * np.cross(x, u)
+    for r in got:
+        n = r["npart"]
+        assert r["m_in_r"] == pytest.approx(m[:n].sum()) and r["odd"] == pytest.approx(m[:n][1::2].sum())
+        assert r["e_kin"] == pytest.approx(0.5 * kin[:n].sum()) and r["sig_v"] == pytest.approx(math.sqrt(kin[:n].sum() / m[:n].sum()))
+        assert r["e_pot"] == pytest.approx(0.5 * (m[:n] * (np.array(phi[:n]) - phi0)).sum())
+        assert r["v_esc"] == pytest.approx(math.sqrt(2 * abs(phi[n - 1] - phi0)))
+        assert [r["l_x"], r["l_y"], r["l_z"]] == pytest.approx(list(spin[:n].sum(axis=0)))
+        values, vectors = np.linalg.eigh((m[:n, None, None] * x[:n, :, None] * x[:n, None, :]).sum(axis=0))
+        if n > 10:
+            assert r["b"] == pytest.approx(math.sqrt(values[1] / values[2])) and abs(np.dot(r["e1"], vectors[:, 2])) == pytest.approx(1.0)
+        else:
+            assert (r["b"], r["c"]) == (0.0, 0.0)
+    plain = prefix.profile(members(spark, rows), ["pid"]).orderBy("bin").collect()
+    assert [tuple(r) for r in plain] == [tuple(r)[:8] for r in got]
+    assert prefix.full_profile(members(spark, []), ["pid"]).count() == 0
+
+
+def test_the_most_bound_particle_counts_its_mass(spark):
+    rows = ball(60, seed=4)
+    rows = [(h, k, d, 50.0 if k == 40 else 1.0, *rest) for h, k, d, _, *rest in rows]
+    d, m = [r[2] for r in rows], np.array([r[3] for r in rows])
+    v = np.array([r[7:10] for r in rows])
+    phi, phi0 = slow_potential(d, m)
+    u = v - np.cumsum(m[:, None] * v, axis=0) / np.cumsum(m)[:, None]
+    e = m * (0.5 * (u**2).sum(axis=1) + np.array(phi) - phi0)
+    assert [tuple(r) for r in prefix.most_bound(members(spark, rows), ["pid"]).collect()] == [(1, int(e.argmin()))]
