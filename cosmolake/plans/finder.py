@@ -115,10 +115,14 @@ def whole_objects(m: DataFrame, prof: DataFrame, s: Settings) -> DataFrame:
     outer = [c for c in prof.columns if c not in ("halo_id", "bin", "npart", "m_in_r", "dens", "v_circ")]
     last = prof.withColumns(inner).groupBy("halo_id").agg(F.count(F.lit(1)).alias("n_bins"), F.max_by(F.struct(*outer, "_k", "_r"), "bin").alias("e"))
     last = last.select("halo_id", "n_bins", "e.*")
-    sums = prefix.integrals(m, ["pid"]).select("halo_id", "mass", *(f"vel_{k}" for k in AXES), F.sqrt(sum((F.col(f"com_{k}") ** 2 for k in AXES), F.lit(0.0))).alias("com_offset"))
-    bound = prefix.most_bound(m, ["pid"]).join(m.select("halo_id", "pid", F.col("d").alias("mbp_offset")), ["halo_id", "pid"]).drop("pid")
-    phi0 = prefix.potential(m, ["pid"]).groupBy("halo_id").agg((s.gravity * F.first("phi0")).alias("phi0"))
-    x = last.join(sums, "halo_id").join(bound, "halo_id").join(phi0, "halo_id")
+    y = prefix.prefix_velocity(prefix.potential(m, ["pid"]), ["pid"])
+    energy = F.col("m") * (0.5 * sum((F.col(f"u_{k}") ** 2 for k in AXES), F.lit(0.0)) + F.col("phi") - F.col("phi0"))
+    mean = lambda c: F.sum(F.col("m") * F.col(c)) / F.sum("m")
+    whole = y.groupBy("halo_id").agg(
+        F.sum("m").alias("mass"), *(mean(f"v{k}").alias(f"vel_{k}") for k in AXES), F.sqrt(sum((mean(f"d{k}") ** 2 for k in AXES), F.lit(0.0))).alias("com_offset"),
+        F.min_by("d", F.struct(energy, "pid")).alias("mbp_offset"), (s.gravity * F.first("phi0")).alias("phi0"),
+    )
+    x = last.join(whole, "halo_id")
     l = F.sqrt(F.col("l_x") ** 2 + F.col("l_y") ** 2 + F.col("l_z") ** 2)  # noqa: E741
     x = x.withColumns({
         "spin": halo_math.spin(l, F.col("mass"), F.col("r"), s.gravity**-0.5),
