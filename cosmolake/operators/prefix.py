@@ -176,6 +176,31 @@ def most_bound(members: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("_e", e).groupBy("halo_id").agg(F.min_by(F.struct(*keys), F.struct("_e", *keys)).alias("mbp")).select("halo_id", "mbp.*")
 
 
+def species_integrals(members: DataFrame, keys: list[str], species: str = "species", metals: Column | None = None, g: float = 1.0) -> DataFrame:
+    """:func:`integrals` of each species of an object, in the whole object's potential and against its prefix velocities.
+
+    Further: potential energy, offset and keys of the species' most bound
+    particle (``mbp_``), and its mean of ``metals`` by mass.
+    """
+    x = prefix_velocity(potential(members, keys), keys)
+    m = F.col("m")
+    depth = m * g * (F.col("phi") - F.col("phi0"))
+    u2 = F.col("u_x") * F.col("u_x") + F.col("u_y") * F.col("u_y") + F.col("u_z") * F.col("u_z")
+    cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    cols = [F.count(F.lit(1)).alias("n"), F.sum(m).alias("mass")]
+    cols += [(F.sum(m * F.col(f"v{k}")) / F.sum(m)).alias(f"vel_{k}") for k in "xyz"]
+    cols += [(F.sum(m * F.col(f"d{k}")) / F.sum(m)).alias(f"com_{k}") for k in "xyz"]
+    cols += [F.sum(m * (F.col(f"d{p}") * F.col(f"u_{q}") - F.col(f"d{q}") * F.col(f"u_{p}"))).alias(f"l_{k}") for k, (p, q) in cross.items()]
+    cols += [F.sum(m * F.col(f"d{p}") * F.col(f"d{q}")).alias(f"t_{p}{q}") for p, q in PAIRS]
+    cols += [(0.5 * F.sum(m * u2)).alias("e_kin"), (0.5 * F.sum(depth)).alias("e_pot")]
+    place = F.struct(*(F.col(f"d{k}").alias(f"mbp_d{k}") for k in "xyz"), *(F.col(k).alias(f"mbp_{k}") for k in keys))
+    cols.append(F.min_by(place, F.struct(0.5 * m * u2 + depth, *keys)).alias("_p"))
+    if metals is not None:
+        cols.append((F.sum(m * metals) / F.sum(m)).alias("metallicity"))
+    got = x.groupBy("halo_id", F.col(species).alias("species")).agg(*cols)
+    return got.select(*(c for c in got.columns if c != "_p"), "_p.*")
+
+
 # Sequential steps ---------------------------------------------------------------------
 
 

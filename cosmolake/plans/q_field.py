@@ -62,6 +62,42 @@ def _hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("pid", grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 6).alias("key"))
 
 
+CELLS_64 = f"{POINTS}, c AS (SELECT pid, floor(x * 64)::BIGINT AS ix, floor(y * 64)::BIGINT AS iy, floor(z * 64)::BIGINT AS iz FROM pts)"
+
+
+@query("hilbert_cells", f"WITH {CELLS_64} SELECT pid, ix, iy, iz, ix // 4 AS px, iy // 4 AS py, iz // 4 AS pz, true AS within FROM c")
+def _hilbert_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys back to cells, and to the cells two levels above, whose range of keys holds them."""
+    key = grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 6)
+    x = points(spark, sf_dir).select("pid", key.alias("key")).withColumn("up", grid.hilbert_parent(F.col("key"), 2))
+    x = x.withColumns({"c": grid.hilbert_cell(F.col("key"), 6), "p": grid.hilbert_cell(F.col("up"), 4)})
+    return x.select("pid", "c.ix", "c.iy", "c.iz", *(F.col(f"p.i{k}").alias(f"p{k}") for k in "xyz"), F.col("key").between(*grid.hilbert_children(F.col("up"), 2)).alias("within"))
+
+
+@query("hilbert_shell", f"WITH {CELLS_64}, o AS (SELECT a, b, d FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS d)) SELECT pid, (ix + a + 64) % 64 AS ix, (iy + b + 64) % 64 AS iy, (iz + d + 64) % 64 AS iz FROM c, o")
+def _hilbert_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = grid.hilbert_key(F.col("x"), F.col("y"), F.col("z"), 6)
+    x = points(spark, sf_dir).select("pid", key.alias("key"))
+    x = x.select("pid", F.explode(grid.hilbert_shell(F.col("key"), 6)).alias("near"))
+    return x.select("pid", grid.hilbert_cell(F.col("near"), 6).alias("c")).select("pid", "c.*")
+
+
+#: The contrast of density on all nodes; the potential's seven-point Laplacian has to give it back.
+CONTRAST = f"{TSC}, s0 AS (SELECT unnest(range(8)) AS ix), s1 AS (SELECT unnest(range(8)) AS iy), s2 AS (SELECT unnest(range(8)) AS iz), f AS (SELECT ix, iy, iz, coalesce(dens, 0) / ((SELECT sum(mass) FROM pts) / 512) - 1 AS delta FROM (SELECT * FROM s0, s1, s2) LEFT JOIN d USING (ix, iy, iz))"
+
+
+@query("grid_potential", f"WITH {CONTRAST} SELECT ix, iy, iz, round(delta, 7) AS delta, round(delta, 7) AS laplacian FROM f")
+def _grid_potential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contrast and the potential's seven-point Laplacian: each node gives its value to six neighbours and takes it six times off itself."""
+    pot = grid.potential(points(spark, sf_dir), 8)
+    moves = [(0, 0, 0, -6), (1, 0, 0, 1), (-1, 0, 0, 1), (0, 1, 0, 1), (0, -1, 0, 1), (0, 0, 1, 1), (0, 0, -1, 1)]
+    to = lambda k, o: F.pmod(F.col(f"i{k}") + o, F.lit(8)).alias(f"i{k}")
+    parts = F.array(*(F.struct(*(to(k, o) for k, o in zip("xyz", move, strict=False)), (F.lit(float(move[3])) * F.col("pot") * 64).alias("part"), F.col("delta").alias("own") if move[3] < 0 else F.lit(None).cast("double").alias("own")) for move in moves))
+    x = pot.select(F.inline(parts)).groupBy("ix", "iy", "iz").agg(F.max("own").alias("delta"), F.sum("part").alias("laplacian"))
+    # A node without mass may come out as -0.0.
+    return x.select("ix", "iy", "iz", *((F.round(c, 7) + 0.0).alias(c) for c in ("delta", "laplacian")))
+
+
 @query("density_order", f"WITH {TSC}, q AS (SELECT pid, round(sum(wt * dens) / ((SELECT sum(mass) FROM pts) / 512), 8) AS dens FROM n JOIN d USING (ix, iy, iz) GROUP BY pid) SELECT pid, dens FROM q")
 def _density_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.density_at(points(spark, sf_dir), 8).withColumn("dens", F.round("dens", 8)).orderBy(F.desc("dens"), "pid")
@@ -100,6 +136,17 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.patch_table(placed, 8).select("patch_id", "level", "n_nodes", "n_parts", *(F.round(k, 9).alias(k) for k in "xyz"))
 
 
+@query("weighted_patch_centres")
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres of patches by their cells' particles and by the depth of the potential."""
+    p = points(spark, sf_dir)
+    placed = grid.patches(grid.hierarchy(p, 8, 4), 8)
+    depth = grid.depth_weights(placed, grid.potential(p, 16), 8, 16)
+    a = grid.patch_table(placed, 8, "dens").select("patch_id", *(F.round(k, 9).alias(f"dens_{k}") for k in "xyz"))
+    b = grid.patch_table(placed, 8, "weighted", weights=depth).select("patch_id", *(F.round(k, 9).alias(f"pot_{k}") for k in "xyz"))
+    return a.join(b, "patch_id")
+
+
 @query("level_histogram")
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = grid.patches(grid.hierarchy(points(spark, sf_dir), 8, 4), 8)

@@ -84,6 +84,13 @@ def _gadget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.gadget(spark, path).select("pid", F.round("x", 6).alias("x"), F.round("vy", 6).alias("vy"), "mass", F.when(~F.isnan("u"), F.col("u")).alias("u"), "ptype")
 
 
+@query("tipsy_round_trip", f"WITH {POINTS}, k AS (SELECT *, CASE WHEN ptype = 0 THEN 0 WHEN ptype = 4 THEN 4 ELSE 1 END AS kind FROM pts) SELECT (row_number() OVER (ORDER BY CASE kind WHEN 1 THEN 0 WHEN 4 THEN 1 ELSE 2 END, pid) - 1)::BIGINT AS pid, round((2 * x)::FLOAT::DOUBLE, 6) AS x, round(vy::FLOAT::DOUBLE, 6) AS vy, mass, CASE WHEN kind = 0 THEN 2.5 END::DOUBLE AS u, kind::INT AS ptype FROM k")
+def _tipsy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark, "tipsy")
+    sinks.tipsy_files(points(spark, sf_dir).withColumn("u", F.when(F.col("ptype") == 0, F.lit(2.5))), path, x_unit=2.0).write.format("noop").mode("overwrite").save()
+    return binary.tipsy(spark, path).select("pid", F.round("x", 6).alias("x"), F.round("vy", 6).alias("vy"), "mass", F.when(~F.isnan("u"), F.col("u")).alias("u"), "ptype")
+
+
 @query("find_halos")
 def _finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole finder on clumps made of the points: each point shrinks towards its label's corner."""

@@ -133,6 +133,13 @@ def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.most_bound(moving(spark, sf_dir), KEYS)
 
 
+@query("species_most_bound", f"WITH {KINEMATICS}, e AS (SELECT *, 0.5 * m * (ux * ux + uy * uy + uz * uz) + m * (phi - phi0) AS energy FROM kin) SELECT halo_id, species, count(*) AS n, round(sum(m * (dx * uy - dy * ux)) / sum(m), 6) AS l_z, round(0.5 * sum(m * (ux * ux + uy * uy + uz * uz)) / sum(m), 7) AS e_kin, round(0.5 * sum(m * (phi - phi0)) / sum(m) / 1000, 4) AS e_pot, round(sum(m * (part % 7)) / sum(m), 8) AS metallicity, arg_min(oid, (energy, oid, lno, part, m)) AS mbp_oid, arg_min(lno, (energy, oid, lno, part, m)) AS mbp_lno, round(arg_min(dx, (energy, oid, lno, part, m)), 7) AS mbp_dx FROM e GROUP BY halo_id, species")
+def _species_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = p.species_integrals(moving(spark, sf_dir), KEYS, metals=F.col("part") % 7)
+    per = lambda c: F.col(c) / F.col("mass")
+    return x.select("halo_id", "species", "n", F.round(per("l_z"), 6).alias("l_z"), F.round(per("e_kin"), 7).alias("e_kin"), F.round(per("e_pot") / 1000, 4).alias("e_pot"), F.round("metallicity", 8).alias("metallicity"), "mbp_oid", "mbp_lno", F.round("mbp_dx", 7).alias("mbp_dx"))
+
+
 @query("shell_dispersions", f"WITH {KINEMATICS}, v AS (SELECT *, (dx * vx + dy * vy + dz * vz) / d AS vr, vx * vx + vy * vy + vz * vz AS v2 FROM bn WHERE d > 0) SELECT halo_id, bin, count(*) AS n, round(avg(vr), 7) AS mean_r, round(stddev_samp(vr), 6) AS sig_r, round(stddev_samp(sqrt(greatest(v2 - vr * vr, 0))), 6) AS sig_t FROM v GROUP BY halo_id, bin")
 def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = p.shell_dispersions(moving(spark, sf_dir), KEYS)

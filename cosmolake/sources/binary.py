@@ -21,8 +21,19 @@ def _spread(spark: SparkSession, ranges: DataFrame) -> DataFrame:
     return ranges.repartition(4 * spark.sparkContext.defaultParallelism, "path", "first")
 
 
-def _ranged(spark: SparkSession, path: str | list[str], count, read) -> DataFrame:
-    """Rows of files: ``count(file)`` tells how many, ``read(file, first, n)`` yields batches of a range."""
+def _ranged(spark: SparkSession, path: str | list[str], count, read, beside=None) -> DataFrame:
+    """Rows of files: ``count(file)`` tells how many, ``read(file, first, n)`` yields batches of a range.
+
+    ``beside(path)`` names a small file that goes with each; both functions
+    take its bytes as a last argument.
+    """
+
+    def more(p: str) -> tuple[bytes, ...]:
+        if beside is None:
+            return ()
+        system, at = opened(beside(p))
+        with system.open_input_file(at) as f:
+            return (f.read(),)
 
     def plan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
@@ -30,7 +41,7 @@ def _ranged(spark: SparkSession, path: str | list[str], count, read) -> DataFram
             for p in b.column(0).to_pylist():
                 system, at = opened(p)
                 with system.open_input_file(at) as f:
-                    n = count(f)
+                    n = count(f, *more(p))
                 rows += [(p, k, min(RANGE, n - k)) for k in range(0, n, RANGE)]
             cols = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "first", "n"])
@@ -40,7 +51,7 @@ def _ranged(spark: SparkSession, path: str | list[str], count, read) -> DataFram
             for p, first, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 system, at = opened(p)
                 with system.open_input_file(at) as f:
-                    yield read(f, first, n)
+                    yield read(f, first, n, *more(p))
 
     files = listed(spark, path).where("length > 0").select("path")
     ranges = files.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(plan, "path string, first long, n long")
@@ -172,6 +183,129 @@ def cubep3m(spark: SparkSession, path: str | list[str], grid: int, offset: tuple
     return _ranged(spark, path, count, read)
 
 
+#: ART's header record: 45 characters, 21 numbers of four bytes (the 13th to 16th and the 5th whole), 100 further ones.
+_ART_HEAD = 45 + 4 * 121
+
+
+class ArtHeader:
+    """What an ART header file says: rows of a page, species with their masses and the ends of their rows."""
+
+    def __init__(self, head: bytes) -> None:
+        self.order = next((o for o in "<>" if struct.unpack(o + "i", head[:4])[0] == _ART_HEAD), None)
+        if self.order is None:
+            raise ValueError("not an ART header file")
+        self.aexpn, _, _, _, _, self.mass = struct.unpack(self.order + "4fif", head[49:73])
+        rows, self.grid, species, _, self.omega0, self.lambda0, self.h = struct.unpack(self.order + "4i3f", head[97:125])
+        self.masses = np.frombuffer(head[133:], self.order + "f4", species).astype(float)
+        self.ends = np.frombuffer(head[173:], self.order + "i4", species).astype(np.int64)
+        self.box, self.unit = (struct.unpack(self.order + "f", head[133 + 4 * k : 137 + 4 * k])[0] for k in (99, 58))
+        self.page = rows * rows
+        self.n = int(self.ends[-1]) if species else rows**3
+
+
+def art(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Particles of ART files (``PMcrs0.DAT``, headers ``PMcrd.DAT`` beside them), all dark.
+
+    A file is pages of six blocks, one for each coordinate and velocity; the
+    last page is as long as the others. Positions start at 1 in the file, at 0
+    here. A particle's id is its place plus one page, and the species (so the
+    mass) is looked up by that id, the last one's beyond its end.
+    """
+
+    def beside(p: str) -> str:
+        folder, _, name = p.rpartition("/")
+        return f"{folder}/PMcrd{name[name.rindex('s') + 2 :]}"
+
+    def read(f, first: int, n: int, head: bytes) -> pa.RecordBatch:
+        h = ArtHeader(head)
+        pieces = []
+        for page in range(first // h.page, (first + n - 1) // h.page + 1):
+            lo, hi = max(first, page * h.page) - page * h.page, min(first + n, (page + 1) * h.page) - page * h.page
+            columns = []
+            for k in range(6):
+                f.seek(((page * 6 + k) * h.page + lo) * 4)
+                columns.append(np.frombuffer(f.read((hi - lo) * 4), h.order + "f4"))
+            pieces.append(np.stack(columns, 1))
+        v = np.concatenate(pieces)
+        pid = np.arange(first, first + n) + h.page
+        mass = h.masses[np.minimum(np.searchsorted(h.ends, pid, side="right"), len(h.ends) - 1)] if len(h.ends) else np.full(n, h.mass)
+        return _rows(pid, (v[:, :3] - np.float32(1)).astype(float), v[:, 3:].astype(float), mass, np.full(n, np.nan), np.full(n, 1, np.int32))
+
+    return _ranged(spark, path, lambda f, head: ArtHeader(head).n, read, beside)
+
+
+#: DEVA's species by code: star -1, dark 0, gas 1 and 2.
+_DEVA_STAR, _DEVA_DARK = -1, 0
+
+
+class DevaLayout:
+    """Where the blocks of a DEVA file lie; ``native`` files are Fortran records, one for each number of the header and one a block."""
+
+    def __init__(self, f, native: bool) -> None:
+        f.seek(0)
+        if native:
+            start = f.read(4)
+            self.order = next((o for o in "<>" if struct.unpack(o + "i", start)[0] in (4, 8)), None)
+            if self.order is None:
+                raise ValueError("not a native DEVA file")
+            f.seek(0, 2)
+            end, at, records = f.tell(), 0, []
+            while at < end:
+                f.seek(at)
+                (size,) = struct.unpack(self.order + "i", f.read(4))
+                records.append((at + 4, size))
+                at += 8 + size
+            ints, reals = records[0][1], records[100][1]
+            at = records[0][0]
+            f.seek(0)
+            head = f.read(records[200][0] - 4)
+            number = lambda k, kind, width: struct.unpack(self.order + {("i", 4): "i", ("i", 8): "q", ("f", 4): "f", ("f", 8): "d"}[kind, width], head[records[k][0] : records[k][0] + width])[0]
+            whole, real = (lambda k: number(k, "i", ints)), (lambda k: number(100 + k, "f", reals))
+            places = [r[0] for r in records[200:]]
+        else:
+            head = f.read(800)
+            self.order = min("<>", key=lambda o: struct.unpack(o + "I", head[28:32])[0])  # read the wrong way round, a number of particles is larger
+            ints = reals = 4
+            whole = lambda k: struct.unpack(self.order + "i", head[4 * k : 4 * k + 4])[0]
+            real = lambda k: struct.unpack(self.order + "f", head[400 + 4 * k : 404 + 4 * k])[0]
+            places = None
+        self.n, self.gas, self.stars = whole(7), whole(8), whole(23)
+        self.baryons = self.gas + self.stars
+        self.ints, self.reals = f"{self.order}i{ints}", f"{self.order}f{reals}"
+        self.a, self.box, h0t0 = real(1), real(33), real(38)
+        #: Thermal energies in (km/s)**2.
+        self.energy = (self.a * 100 * self.box / h0t0) ** 2 if h0t0 else 0.0
+        if places is None:
+            widths = [reals, 3 * reals, 3 * reals, ints]
+            places = [800]
+            for w in widths:
+                places.append(places[-1] + w * self.n)
+            places.append(places[-1] + reals * self.baryons)
+        self.at = dict(zip(("mass", "pos", "vel", "kind", "soft", "energy"), places, strict=False))
+
+    def numbers(self, f, name: str, per: int, first: int, n: int) -> np.ndarray:
+        kind = np.dtype(self.ints if name == "kind" else self.reals)
+        f.seek(self.at[name] + first * per * kind.itemsize)
+        v = np.frombuffer(f.read(n * per * kind.itemsize), kind)
+        return v.reshape(n, per) if per > 1 else v
+
+
+def deva(spark: SparkSession, path: str | list[str], native: bool = False) -> DataFrame:
+    """Particles of DEVA files in the files' units, thermal energies in (km/s)**2; ids are places. Gas and stars come first, and only gas has an energy."""
+
+    def read(f, first: int, n: int) -> pa.RecordBatch:
+        d = DevaLayout(f, native)
+        kind = d.numbers(f, "kind", 1, first, n)
+        ptype = np.select([kind == _DEVA_DARK, kind == _DEVA_STAR], [1, 4], 0).astype(np.int32)
+        u = np.full(n, np.nan)
+        some = max(0, min(n, d.baryons - first))
+        if some:
+            u[:some] = np.where(ptype[:some] == 0, d.numbers(f, "energy", 1, first, some) * d.energy, np.nan)
+        return _rows(np.arange(first, first + n), d.numbers(f, "pos", 3, first, n).astype(float), d.numbers(f, "vel", 3, first, n).astype(float), d.numbers(f, "mass", 1, first, n).astype(float), u, ptype)
+
+    return _ranged(spark, path, lambda f: DevaLayout(f, native).n, read)
+
+
 def memberships_bin(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, halo_id, pid, ptype) of binary memberships: uint64 count, then for each object uint64 npart and id, and npart pairs uint64 pid, uint32 species."""
     pair = np.dtype([("pid", "<u8"), ("ptype", "<u4")])
@@ -213,7 +347,7 @@ def catalogue_bin(spark: SparkSession, path: str | list[str], longs: list[str],
 
 
 #: Formats that need a library this engine doesn't bring, and numbers of formats that no reader serves.
-UNSUPPORTED = ("hdf5", "art", "deva", "unknown")
+UNSUPPORTED = ("hdf5", "unknown")
 
 
 def snapshot(spark: SparkSession, path: str | list[str], kind: str, **options) -> DataFrame:
@@ -228,4 +362,4 @@ def snapshot(spark: SparkSession, path: str | list[str], kind: str, **options) -
         from cosmolake.sources.text import ascii_snapshot
 
         return ascii_snapshot(spark, path).drop("file")
-    return {"gadget": gadget, "tipsy": tipsy, "cubep3m": cubep3m}[kind](spark, path, **options)
+    return {"gadget": gadget, "tipsy": tipsy, "cubep3m": cubep3m, "art": art, "deva": deva}[kind](spark, path, **options)

@@ -1,4 +1,4 @@
-"""Sinks: ordered text of catalogues, memberships and trees, tables, and a Gadget writer.
+"""Sinks: ordered text of catalogues, memberships and trees, tables, and writers of Gadget and TIPSY files.
 
 Text that must be in order is ranged and sorted in parallel: the part files
 of a folder, put together by name, are the file. Reading such a folder takes
@@ -154,12 +154,50 @@ def gadget_files(particles: DataFrame, folder: str, box: float, a: float = 1.0,
         body += block(col["pid"].astype("<i8").tobytes()) + block(col["mass"].astype("<f4").tobytes())
         if np_[0]:
             body += block(np.nan_to_num(col["u"][: np_[0]]).astype("<f4").tobytes())
-        path = f"{folder}/snapshot-{uuid.uuid4().hex}"
-        system, at = opened(path)
-        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(at, compression=None) as out:
-            out.write(body)
-        yield pa.record_batch([pa.array([path]), pa.array([len(t)], pa.int64())], ["path", "n"])
-
-    dealt = particles.select("pid", "x", "y", "z", "vx", "vy", "vz", "mass", "u", "ptype").repartition(files, "pid")
-    return dealt.mapInArrow(task, "path string, n long")
+        yield _written(folder, body, len(t))
+
+    return _dealt(particles, files).mapInArrow(task, "path string, n long")
+
+
+def _dealt(particles: DataFrame, files: int) -> DataFrame:
+    return particles.select("pid", "x", "y", "z", "vx", "vy", "vz", "mass", "u", "ptype").repartition(files, "pid")
+
+
+def _written(folder: str, body: bytes, n: int) -> pa.RecordBatch:
+    """A snapshot file of its own name; a task that runs again leaves the first one's file unlisted."""
+    path = f"{folder}/snapshot-{uuid.uuid4().hex}"
+    system, at = opened(path)
+    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(at, compression=None) as out:
+        out.write(body)
+    return pa.record_batch([pa.array([path]), pa.array([n], pa.int64())], ["path", "n"])
+
+
+def tipsy_files(particles: DataFrame, folder: str, a: float = 1.0, files: int = 1, x_unit: float = 1.0, v_unit: float = 1.0, m_unit: float = 1.0) -> DataFrame:
+    """Write TIPSY snapshots; returns their manifest (path, n). A task holds one file's particles: choose ``files`` by memory.
+
+    Gas (ptype 0) comes first, then dark particles, then stars (ptype 4), each
+    by pid; ``u`` stands where gas has its temperature. Positions, velocities
+    and masses are multiplied by their units.
+    """
+
+    def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(found)
+        if not sum(b.num_rows for b in held):
+            return
+        t = pa.Table.from_batches(held).sort_by([("pid", "ascending")])
+        col = {c: t[c].to_numpy() for c in t.column_names}
+        kinds = {"gas": col["ptype"] == 0, "star": col["ptype"] == 4}
+        kinds["dark"] = ~(kinds["gas"] | kinds["star"])
+        n = {k: int(v.sum()) for k, v in kinds.items()}
+        body = struct.pack("<d6I", a, len(t), 3, n["gas"], n["dark"], n["star"], 0)
+        for kind, width in (("gas", 12), ("dark", 9), ("star", 11)):
+            rows = np.zeros((n[kind], width), "<f4")
+            for k, (c, unit) in enumerate([("mass", m_unit), *((c, x_unit) for c in ("x", "y", "z")), *((c, v_unit) for c in ("vx", "vy", "vz"))]):
+                rows[:, k] = col[c][kinds[kind]] * unit
+            if kind == "gas":
+                rows[:, 8] = np.nan_to_num(col["u"][kinds[kind]].astype(float))
+            body += rows.tobytes()
+        yield _written(folder, body, len(t))
+
+    return _dealt(particles.withColumn("u", F.col("u").cast("double")), files).mapInArrow(task, "path string, n long")

@@ -35,6 +35,19 @@ def test_roots_and_interpolation():
     assert np.allclose(c.cubic_interpolate(x, x**3, [0.1, 1.55, 2.9]), [0.001, 1.55**3, 2.9**3])
 
 
+def test_polynomials_splines_and_integrals():
+    x = np.linspace(0, 3, 12)
+    assert np.allclose(c.polynomial_interpolate(x, x**5, [0.1, 1.55, 2.9]), np.array([0.1, 1.55, 2.9]) ** 5)
+    assert np.allclose(c.polynomial_interpolate(x[:3], x[:3] ** 2, [0.3]), [0.09])
+    assert np.allclose(c.spline(x, x**3, 0.0, 27.0)([0.0, 0.1, 1.55, 2.9, 3.0]), np.array([0.0, 0.1, 1.55, 2.9, 3.0]) ** 3)
+    natural = c.spline(x, np.sin(np.pi * x))
+    assert np.allclose(natural(x), np.sin(np.pi * x)) and natural([1.4])[0] == pytest.approx(math.sin(1.4 * math.pi), abs=0.01)
+    assert c.spline([0, 2], [1, 5])([0.5])[0] == pytest.approx(2)
+    assert c.integrate(np.sqrt, 0, 1) == pytest.approx(2 / 3, rel=1e-8)
+    assert c.integrate(lambda t: 1 / (1e-4 + t * t), -1, 1) == pytest.approx(200 * math.atan(100), rel=1e-8)
+    assert c.integrate(np.exp, 1, 0) == pytest.approx(1 - math.e) and c.integrate(np.exp, 2, 2) == 0
+
+
 def test_concentrations():
     assert halo_math.nfw_concentration(np.array([1.0, 6.0])).tolist() == [-1, -1]
     got = halo_math.nfw_concentration(np.array([3.0]))[0]

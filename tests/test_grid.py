@@ -80,3 +80,43 @@ def test_too_many_cells_raise(spark):
     with pytest.raises(ValueError, match="cells a side"):
         grid.patches(cells, 512)
     assert grid.patches(cells, 256).count() == 1
+
+
+def test_hilbert_keys_back_to_cells(spark):
+    for bits in (1, 2, 3):
+        n = 1 << bits
+        x = spark.range(n**3).withColumn("c", grid.hilbert_cell(F.col("id"), bits))
+        x = x.withColumn("key", grid.hilbert_of_cell(F.col("c.ix"), F.col("c.iy"), F.col("c.iz"), bits)).select("id", "key", "c.*").collect()
+        assert all(r["id"] == r["key"] for r in x) and len({(r["ix"], r["iy"], r["iz"]) for r in x}) == n**3
+
+
+def test_hilbert_levels_and_shells(spark):
+    x = spark.range(512).select("id", grid.hilbert_parent(F.col("id"), 1).alias("up"), grid.hilbert_cell(F.col("id"), 3).alias("c"), F.col("id").between(*grid.hilbert_children(grid.hilbert_parent(F.col("id"), 1), 1)).alias("within"), grid.hilbert_shell(F.col("id"), 3).alias("near"))
+    rows = x.withColumn("p", grid.hilbert_cell(F.col("up"), 2)).collect()
+    at = {r["id"]: (r["c"]["ix"], r["c"]["iy"], r["c"]["iz"]) for r in rows}
+    for r in rows:
+        assert r["within"] and tuple(v // 2 for v in at[r["id"]]) == tuple(r["p"])
+        assert [at[k] for k in r["near"]] == [tuple((v + o) % 8 for v, o in zip(at[r["id"]], (a, b, c), strict=True)) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+
+
+def test_potential_of_a_wave(spark):
+    n = 8
+    rows = [((i + 0.5) / n, (j + 0.5) / n, (k + 0.5) / n) for i in range(n) for j in range(n) for k in range(n) for _ in range(1 + (i % 2))]
+    got = grid.potential(particles(spark, rows), n, kernel="ngp").collect()
+    assert len(got) == n**3 and sum(r["pot"] for r in got) == pytest.approx(0, abs=1e-9)
+    # A wave of two cells: its Laplacian is -4 n**2 times itself.
+    assert all(r["delta"] == pytest.approx(-4 * n * n * r["pot"]) and r["delta"] == pytest.approx(1 / 3 if r["ix"] % 2 else -1 / 3) for r in got)
+
+
+def test_weighted_centres(spark):
+    placed = spark.createDataFrame([(7, 0, 0, 0, 0, 0.1, 0.1, 0.1), (7, 0, 0, 0, 0, 0.1, 0.1, 0.1), (7, 0, 0, 0, 0, 0.1, 0.1, 0.1), (7, 0, 3, 0, 0, 0.9, 0.1, 0.1)], "patch_id long, level int, ix long, iy long, iz long, x double, y double, z double")
+    at = lambda centre, w=None: grid.patch_table(placed, 4, centre, weights=w).first()["x"]
+    weights = spark.createDataFrame([(0, 0, 0, 0, -5.0), (0, 3, 0, 0, 2.0)], "level int, ix long, iy long, iz long, weight double")
+    assert at("geom") == pytest.approx(0.0, abs=1e-12) and at("dens") == pytest.approx(0.0625)
+    assert at("weighted", weights) == pytest.approx(0.875)
+    assert at("weighted", weights.limit(0)) == pytest.approx(at("geom"), abs=1e-12)
+    with pytest.raises(ValueError, match="weights"):
+        at("weighted")
+    pot = spark.createDataFrame([(0, 0, 0, -0.5), (1, 0, 0, 0.25)], "ix long, iy long, iz long, pot double")
+    got = {r["ix"]: r["weight"] for r in grid.depth_weights(placed, pot, 4, 2).collect()}
+    assert got == {0: 0.5, 3: 0.0}
