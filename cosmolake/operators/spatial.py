@@ -54,8 +54,8 @@ def within(a: DataFrame, b: DataFrame, radius: float, box: float = 1.0, closed:
     return x.where(F.col("d2") <= radius * radius if closed else F.col("d2") < radius * radius)
 
 
-def gather(halos: DataFrame, particles: DataFrame, radius: str = "radius", box: float = 1.0, finest: int = 10) -> DataFrame:
-    """Particles within each object's own radius: (object columns, ``b_`` particle columns, ``d2``).
+def gather(halos: DataFrame, particles: DataFrame, radius: str = "radius", box: float = 1.0, finest: int = 10, same: str | None = None) -> DataFrame:
+    """Particles within each object's own radius: (object columns, ``b_`` particle columns, ``d2``); with ``same``, only those equal in that column.
 
     Objects go to the finest level whose cells, ``box / 2**level``, are no
     smaller than their radius; a particle is keyed once for each level in use,
@@ -68,7 +68,10 @@ def gather(halos: DataFrame, particles: DataFrame, radius: str = "radius", box:
     p = particles.select(*(F.col(c).alias(f"b_{c}") for c in particles.columns)).join(F.broadcast(levels), F.lit(True))  # no more than finest + 1 rows
     n = F.pow(F.lit(2.0), F.col("_l")).cast("long")
     p = p.select("*", *(cell(f"b_{k}", n, box).alias(f"c{k}") for k in AXES))
-    x = h.join(p, ["_l", "cx", "cy", "cz"]).drop("_l", "cx", "cy", "cz")
+    keys = ["_l", "cx", "cy", "cz"]
+    if same is not None:
+        p, keys = p.withColumn(same, F.col(f"b_{same}")), [*keys, same]
+    x = h.join(p, keys).drop("_l", "cx", "cy", "cz")
     x = x.withColumn("d2", distance2([F.col(k) for k in AXES], [F.col(f"b_{k}") for k in AXES], box))
     return x.where(F.col("d2") <= F.col(radius) * F.col(radius))
 
@@ -256,13 +259,27 @@ def main_daughters(links: DataFrame, patches: DataFrame, rule: str = "parts") ->
     return x.groupBy("parent_id").agg(F.min_by("patch_id", F.struct(score.alias("s"), "patch_id")).alias("main_id"))
 
 
-def sibling_distance(links: DataFrame, patches: DataFrame, mains: DataFrame, box: float = 1.0) -> DataFrame:
-    """(patch_id, close): half the distance to the nearest other sub-patch of the same parent, main daughters left out."""
-    s = links.join(mains.select(F.col("main_id").alias("patch_id")), "patch_id", "left_anti").join(patches.select("patch_id", *AXES), "patch_id")
-    o = s.select("parent_id", F.col("patch_id").alias("other"), *(F.col(k).alias(f"o_{k}") for k in AXES))
-    x = s.join(o, "parent_id").where("patch_id <> other")
-    d2 = distance2([F.col(k) for k in AXES], [F.col(f"o_{k}") for k in AXES], box)
-    return x.groupBy("patch_id").agg((0.5 * F.sqrt(F.min(d2))).alias("close"))
+def sibling_distance(links: DataFrame, patches: DataFrame, mains: DataFrame, box: float = 1.0, finest: int = 16) -> DataFrame:
+    """(patch_id, close): half the distance to the nearest other sub-patch of the same parent, main daughters left out.
+
+    Rounds of doubling radius within a parent's patches, from their mean
+    spacing there: a patch meets those of neighbouring cells, not all of its
+    parent's, and leaves once its nearest is found.
+    """
+    s = links.join(mains.select(F.col("main_id").alias("patch_id")), "patch_id", "left_anti").join(patches.select("patch_id", *AXES), "patch_id").select("patch_id", "parent_id", *AXES)
+    s = stored(s, "siblings")
+    first = s.groupBy("parent_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*AXES), "patch_id").alias("_a")).where("_n > 1")
+    off = {k: pbc(F.col(k) - F.col(f"_a.{k}"), box) for k in AXES}
+    extent = F.greatest(*(F.max(c) - F.min(c) for c in off.values()))
+    reach = s.join(first, "parent_id").groupBy("parent_id").agg((extent * F.pow(F.first("_n"), F.lit(-1 / 3))).alias("radius"))
+    left, out = stored(s.join(reach, "parent_id"), "left"), None
+    while True:
+        x = gather(left, s, "radius", box, finest, same="parent_id").where("patch_id <> b_patch_id")
+        near = stored(x.groupBy("patch_id").agg((0.5 * F.sqrt(F.min("d2"))).alias("close")), "nearest")
+        out = near if out is None else out.union(near)
+        left = stored(left.join(near, "patch_id", "left_anti").withColumn("radius", F.greatest(2 * F.col("radius"), F.lit(box * 2.0**-finest))), "left")
+        if left.isEmpty():
+            return out
 
 
 def sphere_statistic(cells: DataFrame, spheres: DataFrame, radius: float, box: float = 1.0) -> DataFrame:

@@ -72,7 +72,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "snapshot-text")
     p = points(spark, sf_dir).withColumn("u", F.when(F.col("ptype") == 0, F.lit(1.5)).otherwise(-F.col("ptype").cast("double")))
-    sinks.ascii_snapshot_text(p.coalesce(1), path, {"Header": "12", "PMass": "1.0"})
+    sinks.ascii_snapshot_text(p, path, {"Header": "12", "PMass": "1.0"})
     x = text.ascii_snapshot(spark, path, whole=True)
     return x.select("pid", F.round("x", 10).alias("x"), F.round("vz", 10).alias("vz"), "mass", "ptype")
 

@@ -22,3 +22,13 @@ def test_stream_of_transitions(spark, tmp_path):
     q = track.transitions(stream).writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("moves").collect()] == [(1, 2, "a", "b")]
+
+
+def test_stream_of_windowed_counts(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").selectExpr("cast(ts as timestamp) as ts", "event_type")
+    events.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = track.windowed_counts(stream, "ts", "event_type").writeStream.format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("update").start()
+    q.awaitTermination(120)
+    got = {(r["start"], r["event_type"]): r["n"] for r in spark.table("counts").collect()}
+    assert got == {(r["start"], r["event_type"]): r["n"] for r in track.windowed_counts(events, "ts", "event_type").collect()}

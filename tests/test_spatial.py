@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,21 @@ def test_pair_counts_equal_brute_force(spark, monkeypatch):
         want = {k: n for k in range(6) if (n := int(((d2 > edges[k] ** 2) & (d2 < edges[k + 1] ** 2)).sum()))}
         assert {x["bin"]: x["n_pairs"] for x in spatial.pair_histogram(df, lo, hi, 6).collect()} == want
     assert spatial.pair_histogram(df.limit(0), 0.1, 0.2, 3).count() == 0
+
+
+def test_nearest_siblings_equal_all_pairs(spark):
+    r = np.random.default_rng(4)
+    rows = [(k, int(r.integers(1, 6)), *map(float, np.mod(r.normal(0, 0.02, 3) * (1 + 20 * (k % 7 == 0)), 1))) for k in range(150)]
+    rows += [(500, 9, 0.5, 0.5, 0.5), (501, 10, 0.1, 0.1, 0.1), (502, 10, 0.1, 0.1, 0.1), (503, 10, 0.6, 0.6, 0.6)]
+    patches = spark.createDataFrame([(k, x, y, z) for k, _, x, y, z in rows], "patch_id long, x double, y double, z double")
+    links = spark.createDataFrame([(k, p) for k, p, *_ in rows], "patch_id long, parent_id long")
+    mains = spark.createDataFrame([(0,)], "main_id long")
+    d = lambda a, b: math.sqrt(sum(((u - v + 0.5) % 1 - 0.5) ** 2 for u, v in zip(a[2:], b[2:], strict=True)))
+    want = {}
+    for a in rows[1:]:
+        others = [d(a, b) for b in rows[1:] if b[1] == a[1] and b[0] != a[0]]
+        if others:
+            want[a[0]] = min(others) / 2
+    got = spatial.sibling_distance(links, patches, mains).collect()
+    assert len(got) == len(want) and all(abs(r["close"] - want[r["patch_id"]]) < 1e-9 for r in got)
+    assert spatial.sibling_distance(links.limit(0), patches, mains).count() == 0
