@@ -94,3 +94,34 @@ def test_nearest_siblings_equal_all_pairs(spark):
     got = spatial.sibling_distance(links, patches, mains).collect()
     assert len(got) == len(want) and all(abs(r["close"] - want[r["patch_id"]]) < 1e-9 for r in got)
     assert spatial.sibling_distance(links.limit(0), patches, mains).count() == 0
+
+
+def test_expansion_rates_equal_all_pairs_without_a_row_a_pair(spark, monkeypatch):
+    from cosmolake.operators import stats
+
+    r = np.random.default_rng(9)
+    at = np.concatenate([0.5 + 0.05 * r.normal(size=(90, 3)), r.random((40, 3)), [[0.01, 0.99, 0.5]] * 5])
+    v = r.normal(size=at.shape)
+    rows = [(f"h{k}", *map(float, p), *(float(c) if k != 7 else None for c in u)) for k, (p, u) in enumerate(zip(at, v, strict=True))]
+    h = spark.createDataFrame(rows, "observer string, x double, y double, z double, vx double, vy double, vz double")
+    monkeypatch.setattr(spatial, "within", None)
+    monkeypatch.setattr(stats, "within", None, raising=False)
+    for radius, block in ((0.2, 2_048), (0.2, 9), (0.07, 5), (0.6, 16)):
+        monkeypatch.setattr(stats, "BLOCK", block, raising=False)
+        got = {(x["observer"], x["sphere"]): (x["h_los"], x["n"]) for x in stats.expansion_scatter(h.where("hash(observer) % 2 = 0"), h.drop("observer"), radius, spheres=3).collect()}
+        want = {}
+        for (name,) in h.where("hash(observer) % 2 = 0").select("observer").collect():
+            k = int(name[1:])
+            d = at - at[k]
+            d -= np.floor(d + 0.5)
+            d2 = (d**2).sum(axis=1)
+            rate = 100 + ((v - v[k]) * d).sum(axis=1) / np.where(d2 > 0, d2, 1)
+            known = (np.arange(len(at)) != 7) & (k != 7)
+            for s in range(3):
+                inside = (d2 > 0) & (d2 <= (radius * (s + 1) / 3) ** 2)
+                if inside.any():
+                    want[name, s + 1] = (rate[inside & known].mean() if (inside & known).any() else None, int(inside.sum()))
+        assert set(got) == set(want)
+        for key, (rate, n) in want.items():
+            assert got[key][1] == n and (got[key][0] is None if rate is None else abs(got[key][0] - rate) < 1e-7 * max(1, abs(rate)))
+    assert stats.expansion_scatter(h.limit(0), h.drop("observer"), 0.2).count() == 0
