@@ -43,13 +43,16 @@ def around(n: Column | int, box: float, prefix: str = "") -> Column:
     return F.array_distinct(F.array(*shifted))
 
 
-def within(a: DataFrame, b: DataFrame, radius: float, box: float = 1.0, closed: bool = True) -> DataFrame:
-    """Pairs of a row of ``a`` and one of ``b`` at most ``radius`` apart, with ``d2``; b's columns come out with ``b_`` before their names."""
+def within(a: DataFrame, b: DataFrame, radius: float, box: float = 1.0, closed: bool = True, same: str | None = None) -> DataFrame:
+    """Pairs of a row of ``a`` and one of ``b`` at most ``radius`` apart, with ``d2``; b's columns come out with ``b_`` before their names. With ``same``, only those equal in that column."""
     n = cells_across(radius, box)
     left = a.select("*", F.explode(around(n, box)).alias("_c")).select("*", "_c.*").drop("_c")
     right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
     right = right.select("*", *(cell(f"b_{k}", n, box).alias(f"c{k}") for k in AXES))
-    x = left.join(right, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    keys = ["cx", "cy", "cz"]
+    if same is not None:
+        right, keys = right.withColumn(same, F.col(f"b_{same}")), [*keys, same]
+    x = left.join(right, keys).drop("cx", "cy", "cz")
     x = x.withColumn("d2", distance2([F.col(k) for k in AXES], [F.col(f"b_{k}") for k in AXES], box))
     return x.where(F.col("d2") <= radius * radius if closed else F.col("d2") < radius * radius)
 
@@ -236,12 +239,36 @@ def nearest_parent(found: DataFrame) -> DataFrame:
     return found.groupBy("patch_id").agg(F.min(F.struct("d2", "parent_id")).alias("m")).select("patch_id", F.col("m.parent_id").alias("parent_id"))
 
 
+def holding_parents(daughters: DataFrame, parents: DataFrame, box: float = 1.0, first: float | None = None) -> DataFrame:
+    """(patch_id, parent_id): the nearest of a daughter's :func:`box_parents`, ties to the smaller id, without all of them.
+
+    Rounds of fourfold radius from a quarter of the mean spacing: a daughter
+    leaves once a parent within the radius holds it, and so do parents whose
+    whole box lies within it. Daughters that no box holds don't come out.
+    """
+    up = parents.select("patch_id", (F.col("level") + 1).alias("level"), *AXES, *(f"h{k}" for k in AXES), F.sqrt(sum((F.col(f"h{k}") * F.col(f"h{k}") for k in AXES), F.lit(0.0))).alias("reach"))
+    up = stored(up, "parents")
+    left = stored(daughters.select("patch_id", "level", *AXES).join(up.select("level").distinct(), "level", "left_semi"), "left")
+    out, radius, last = None, first or spacing(up, box) / 4, min(up.agg(F.max("reach")).first()[0] or 0.0, box * math.sqrt(3) / 2) * 1.0000001
+    while True:
+        x = within(left, up, radius, box, same="level")
+        inside = [F.abs(pbc(F.col(f"b_{k}") - F.col(k), box)) <= F.col(f"b_h{k}") for k in AXES]
+        x = x.where(inside[0] & inside[1] & inside[2])
+        near = stored(x.groupBy("patch_id").agg(F.min(F.struct("d2", "b_patch_id")).alias("m")).select("patch_id", F.col("m.b_patch_id").alias("parent_id")), "holders")
+        out = near if out is None else out.union(near)
+        left = stored(left.join(near, "patch_id", "left_anti"), "left")
+        if radius >= last or left.isEmpty():
+            return out
+        up = up.where(F.col("reach") * 1.0000001 > radius)
+        radius = min(4 * radius, last)
+
+
 def orphan_parents(daughters: DataFrame, parents: DataFrame, box: float = 1.0, first: float | None = None) -> DataFrame:
     """(patch_id, parent_id): the nearest patch of the next coarser level, by rounds of doubling radius from the mean spacing."""
     left, out, radius = daughters, None, first or spacing(parents, box)
     up = parents.withColumn("level", F.col("level") + 1)
     while True:
-        x = within(left, up, radius, box).where("level = b_level")
+        x = within(left, up, radius, box, same="level")
         near = stored(x.groupBy("patch_id").agg(F.min(F.struct("d2", "b_patch_id")).alias("m")).select("patch_id", F.col("m.b_patch_id").alias("parent_id")), "orphans")
         out = near if out is None else out.union(near)
         left = stored(left.join(near, "patch_id", "left_anti"), "left")

@@ -97,7 +97,7 @@ PATCHES = f"""{PH}, pt AS (SELECT halo_id AS patch_id, (halo_id % 3)::INT AS lev
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = patches(spark, sf_dir)
-    inside = s.nearest_parent(s.box_parents(p, p))
+    inside = s.holding_parents(p, p)
     lost = p.where("level > 0").join(inside, "patch_id", "left_anti")
     return inside.union(s.orphan_parents(lost, p))
 

@@ -96,6 +96,29 @@ def test_nearest_siblings_equal_all_pairs(spark):
     assert spatial.sibling_distance(links.limit(0), patches, mains).count() == 0
 
 
+def test_links_need_not_list_all_boxes_around_a_centre(spark, monkeypatch):
+    from cosmolake.plans import q_spatial
+
+    r = np.random.default_rng(8)
+    at = np.concatenate([0.5 + 0.05 * r.normal(size=(150, 3)), r.random((60, 3)), [[0.01, 0.99, 0.5]] * 4])
+    rows = [(k, int(r.integers(0, 4)), *map(float, p), *map(float, r.choice([0.002, 0.02, 0.1, 0.6], 3))) for k, p in enumerate(at)]
+    p = spark.createDataFrame(rows, "patch_id long, level int, x double, y double, z double, hx double, hy double, hz double")
+    off = lambda a, b: [(u - v + 0.5) % 1 - 0.5 for u, v in zip(a[2:5], b[2:5], strict=True)]
+    want = {}
+    for a in rows:
+        held = [(sum(d * d for d in off(a, b)), b[0]) for b in rows if b[1] + 1 == a[1] and all(abs(d) <= h for d, h in zip(off(a, b), b[5:], strict=True))]
+        if held:
+            want[a[0]] = min(held)[1]
+    assert {x["patch_id"]: x["parent_id"] for x in spatial.nearest_parent(spatial.box_parents(p, p)).collect()} == want
+    for first in (None, 0.001, 0.3):
+        assert {x["patch_id"]: x["parent_id"] for x in spatial.holding_parents(p, p, first=first).collect()} == want
+    assert spatial.holding_parents(p, p.limit(0)).count() == 0 and spatial.holding_parents(p.limit(0), p).count() == 0
+    monkeypatch.setattr(spatial, "box_parents", None)  # its rows grow with the square of the patches
+    monkeypatch.setattr(q_spatial, "patches", lambda *_: p)
+    got = {x["patch_id"]: x["parent_id"] for x in q_spatial.links(spark, "").collect()}
+    assert {k: v for k, v in got.items() if k in want} == want and set(got) == {a[0] for a in rows if a[1] > 0}
+
+
 def test_expansion_rates_equal_all_pairs_without_a_row_a_pair(spark, monkeypatch):
     from cosmolake.operators import stats
 
