@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from cosmolake.operators.rounds import folder as shared_dir
 from cosmolake.operators.rounds import min_labels, stored
 
-__all__ = ["ARROW_ROWS", "SPACE", "bounded", "components", "fresh", "mix", "shared_dir", "slices", "span_hash", "stored", "text_bytes", "word_spans"]
+__all__ = ["ARROW_ROWS", "SPACE", "bounded", "components", "fresh", "mix", "released", "releasing", "shared_dir", "slices", "span_hash", "stored", "text_bytes", "word_spans"]
 
 
 ARROW_ROWS = 2_000
@@ -25,6 +28,24 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def released() -> None:
+    """Give the memory that this process has freed back to the system. A Python worker outlives its task, and an executor's later stages need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def releasing() -> Iterator[None]:
+    """Around a task's batches: :func:`released` when they end."""
+    try:
+        yield
+    finally:
+        released()
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """A column name for each stem that ``df`` lacks, whatever the case of its own names."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
@@ -26,11 +26,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import fresh
+from cosmolake.llm._shared import fresh, released
 
 INF = 1 << 60
 FAN = 8  #: Children of a node of the segment tree.
 TOGETHER = 5000  #: Pieces whose trees stand side by side.
+ROWS = 1_000  #: Texts whose chunks are held at once.
 MEMO = 800_000  #: Entries of a task's memo; the oldest half goes beyond that, which changes no result.
 
 
@@ -109,7 +110,20 @@ class Pairs:
 
 
 def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
-    """:func:`merge_bytes` of many pieces of at most ``FAN**2`` bytes that aren't tokens themselves: their trees side by side, one merge of each a step."""
+    """:func:`merge_bytes` of many pieces of at most ``FAN**2`` bytes that aren't tokens themselves."""
+    return [_ids(b) for b in _merged(pieces, pairs)]
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, np.int32).tobytes()
+
+
+def _ids(packed: bytes) -> tuple[int, ...]:
+    return tuple(np.frombuffer(packed, np.int32).tolist())
+
+
+def _merged(pieces: list[bytes], pairs: Pairs) -> list[bytes]:
+    """Packed ids of pieces as in :func:`merge_many`: their trees side by side, one merge of each a step."""
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     n, width = len(pieces), -(-int(lens.max()) // FAN) * FAN
     raw = np.frombuffer(b"".join(pieces), np.uint8)
@@ -150,12 +164,12 @@ def merge_many(pieces: list[bytes], pairs: Pairs) -> list[tuple[int, ...]]:
         live[at, end[at, k]] = True
     live[:, :-1] &= inside
     live[:, -1] = False
-    flat, cut = token[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-    return [tuple(flat[a:b]) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+    flat, cut = token[live].astype(np.int32).tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+    return [flat[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
 
 
-class _Memo(dict):
-    """Ids of pre-tokens, and of chunks whose ends are sure to be pre-token ends.
+class _Known(dict):
+    """Packed ids of pre-tokens, and of chunks whose ends are sure to be pre-token ends.
 
     Two generations of half the bound each: when one is full it becomes the
     old one, from which what is still in use comes back.
@@ -164,7 +178,7 @@ class _Memo(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs = Pairs(ranks)
         self.complete = bool((self.pairs.single >= 0).all())
 
@@ -178,23 +192,23 @@ class _Memo(dict):
                 continue
             raw = c.encode()
             if raw in ranks:
-                self[c] = (ranks[raw],)
+                self[c] = _packed((ranks[raw],))
             elif self.complete and len(raw) <= FAN * FAN:
                 by[-(-len(raw) // FAN)].append(c)
         for group in by.values():
             for k in range(0, len(group), TOGETHER):
                 part = group[k : k + TOGETHER]
                 self.bound()
-                self.update(zip(part, merge_many([c.encode() for c in part], self.pairs), strict=True))
+                self.update(zip(part, _merged([c.encode() for c in part], self.pairs), strict=True))
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
             found = self.find(chunk)
             if len(found) == 1:
-                ids = tuple(merge_bytes(chunk.encode(), self.ranks))
+                ids = _packed(merge_bytes(chunk.encode(), self.ranks))
             else:
-                ids = tuple(chain.from_iterable(map(self.__getitem__, found)))
+                ids = b"".join(map(self.__getitem__, found))
         if len(chunk) <= 256:
             self.bound()
             self[chunk] = ids
@@ -206,13 +220,28 @@ class _Memo(dict):
             self.clear()
 
 
+class _Memo:
+    """A worker's memo: the ids of a chunk by ``[]``, those of many at once by ``packed``."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.known = _Known(ranks, pattern)
+
+    def __getitem__(self, chunk: str) -> tuple[int, ...]:
+        return _ids(self.known[chunk])
+
+    def packed(self, cut: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), np.int32)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.known.old = {}
+
+
 @lru_cache(2)
 def _memo(path: str, pattern: str) -> _Memo:
     return _Memo(load_ranks(path), pattern)
 
 
-
-
 def chunks(text: str) -> list[str]:
     """``text`` cut where every pre-token ends for certain.
 
@@ -250,8 +279,7 @@ def chunks(text: str) -> list[str]:
 
 def encode_text(text: str, path: str, pattern: str) -> list[int]:
     """Ids of one text, without special tokens."""
-    memo = _memo(path, pattern)
-    return list(chain.from_iterable(map(memo.__getitem__, chunks(text))))
+    return _memo(path, pattern).packed(chunks(text)).tolist()
 
 
 def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids") -> DataFrame:
@@ -273,20 +301,21 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
 
 @contextmanager
 def _forgetting(path: str, pattern: str) -> Iterator[None]:
-    """Empty the memo when a task ends: its worker lives on and may serve other stages."""
+    """Empty the memo when a task ends, and give its memory back: its worker lives on and may serve other stages."""
     try:
         yield
     finally:
-        memo = _memo(path, pattern)
-        memo.clear()
-        memo.old = {}
+        _memo(path, pattern).forget()
+        released()
 
 
 def _encoded(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
-    memo = _memo(path, pattern)
-    cut = [chunks(t.as_py() or "") for t in texts]
-    memo.learn(set(chain.from_iterable(cut)))
-    return [np.fromiter(chain.from_iterable(map(memo.__getitem__, c)), np.int32) for c in cut]
+    memo, out = _memo(path, pattern), []
+    for k in range(0, len(texts), ROWS):
+        cut = [chunks(t.as_py() or "") for t in texts[k : k + ROWS]]
+        memo.known.learn(set(chain.from_iterable(cut)))
+        out += map(memo.packed, cut)
+    return out
 
 
 def _list_array(parts: list[np.ndarray]) -> pa.ListArray:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cosmolake.llm import shingles
-from cosmolake.llm._shared import components, fresh, stored
+from cosmolake.llm._shared import components, fresh, releasing, stored
 
 PERCENT = 80
 BROADCAST_ROWS = 400_000  #: Node lists are broadcast up to so many rows, joined by a shuffle beyond.
@@ -46,23 +46,24 @@ def profiles(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, n_shingles, a, b, bands, s0..s3): each row's set size, identity, band keys and odd sketch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, ident, keys, marks = [], [], [], []
-            for s in shingles.sets(batch.column(1)):
-                n.append(len(s))
-                ident.append(shingles.identity(s))
-                if len(s):
-                    sig = shingles.samples(s)
-                    keys.append(shingles.bands(sig).view(np.int64))
-                    marks.append(shingles.odd_sketch(sig).view(np.int64))
-                else:
-                    keys.append(np.zeros(0, np.int64))
-                    marks.append(np.zeros(4, np.int64))
-            off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            mark = np.array(marks, np.int64).reshape(-1, 4)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array([i[k] for i in ident], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(off, flat), *(pa.array(mark[:, k]) for k in range(4))]
-            yield pa.record_batch(cols, ["doc_id", "n_shingles", "a", "b", "bands", "s0", "s1", "s2", "s3"])
+        with releasing():
+            for batch in batches:
+                n, ident, keys, marks = [], [], [], []
+                for s in shingles.sets(batch.column(1)):
+                    n.append(len(s))
+                    ident.append(shingles.identity(s))
+                    if len(s):
+                        sig = shingles.samples(s)
+                        keys.append(shingles.bands(sig).view(np.int64))
+                        marks.append(shingles.odd_sketch(sig).view(np.int64))
+                    else:
+                        keys.append(np.zeros(0, np.int64))
+                        marks.append(np.zeros(4, np.int64))
+                off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                mark = np.array(marks, np.int64).reshape(-1, 4)
+                flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                cols = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *(pa.array([i[k] for i in ident], pa.int64()) for k in (0, 1)), pa.ListArray.from_arrays(off, flat), *(pa.array(mark[:, k]) for k in range(4))]
+                yield pa.record_batch(cols, ["doc_id", "n_shingles", "a", "b", "bands", "s0", "s1", "s2", "s3"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, PROFILE)
 
@@ -71,11 +72,12 @@ def shingle_sets(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> Data
     """(node, size, set, shingles): the sets of the rows whose doc_id is in ``nodes``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(shingles.sets(batch.column(1)))
-            off = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(off, flat)], ["node", "shingles"])
+        with releasing():
+            for batch in batches:
+                found = list(shingles.sets(batch.column(1)))
+                off = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
+                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(off, flat)], ["node", "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).join(sized(nodes), "node", "left_semi")
     sets = rows.mapInArrow(task, "node long, shingles array<long>").where(F.size("shingles") > 0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cosmolake.llm._shared import SPACE, mix, slices, span_hash, stored, word_spans
+from cosmolake.llm._shared import SPACE, mix, releasing, slices, span_hash, stored, word_spans
 
 MAX_DOCS = 6_000  #: Bound of the training sample, in documents.
 MAX_LINES = 300_000  #: Bound of the training sample, in lines of all its documents.
@@ -222,13 +222,14 @@ def score(df: DataFrame, text: str, model: Model, out: str = "score") -> DataFra
 
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            out = [np.zeros(0)]
-            for raw, off in slices(texts):
-                x, size, first = line_features(raw, off)
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                good = np.bincount(doc, marginals(model, x, first) * size, minlength=len(off) - 1)
-                out.append(good / np.maximum(np.bincount(doc, size, minlength=len(off) - 1), 1))
-            yield pa.array(np.concatenate(out))
+        with releasing():
+            for texts in batches:
+                out = [np.zeros(0)]
+                for raw, off in slices(texts):
+                    x, size, first = line_features(raw, off)
+                    doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+                    good = np.bincount(doc, marginals(model, x, first) * size, minlength=len(off) - 1)
+                    out.append(good / np.maximum(np.bincount(doc, size, minlength=len(off) - 1), 1))
+                yield pa.array(np.concatenate(out))
 
     return df.withColumn(out, quality(F.col(text)))

@@ -71,3 +71,28 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "Hello world", "kept")], "doc_id long, text string, _both string")
     r = bpe.encode_decode(df, "text", PATH, public_tokenizers.PATTERN).collect()[0]
     assert r["_both"] == "kept" and bytes(r["decoded"]) == b"Hello world"
+
+
+def test_a_worker_gives_its_memory_back():
+    import subprocess
+    import sys
+
+    code = """
+import random, re, sys
+import pyarrow as pa, public_tokenizers
+from cosmolake.llm import bpe
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+bpe._memo(path, pattern)
+r, start = random.Random(3), held()
+with bpe._forgetting(path, pattern):
+    for _ in range(4):
+        texts = pa.array([" ".join("".join(r.choices("abcdefghijklmnop", k=9)) for _ in range(100)) for _ in range(1000)])
+        parts = bpe._encoded(texts, path, pattern)
+    top = held()
+    del texts, parts
+print(top - start, held() - start)
+"""
+    top, rest = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert rest < 85 and rest < 0.7 * top, (top, rest)  # MB beyond those before the task
